@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality
+from . import bpe, exact_dedup, pii, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_bpe": bpe.op2_bpe,
+    "op3_pii": pii.op3_pii,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 #: Where SQL can express the whole result and stays fast on whole tables.
