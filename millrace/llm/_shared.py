@@ -56,7 +56,7 @@ def release(*tables: DataFrame) -> None:
 
 def input_mb(df: DataFrame) -> float:
     """Optimizer estimate of a frame's size in MB."""
-    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().doubleValue()) / 1e6
+    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) / 1e6
 
 
 def buckets_for(mb: float, spark: SparkSession) -> int:
