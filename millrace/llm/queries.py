@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm, packing, pii, quality
+from . import bpe, exact_dedup, lm, near_dedup, packing, pii, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_pii": pii.op3_pii,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_quality_rules": quality.op10_quality_rules,
 }
