@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm, near_dedup, packing, pii, quality, secrets_scan, suffix_dedup
+from . import bpe, exact_dedup, licenses, lm, near_dedup, packing, pii, quality, secrets_scan, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_secret_scan": secrets_scan.op6_secret_scan,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_quality_rules": quality.op10_quality_rules,
 }
