@@ -24,7 +24,7 @@ import hashlib
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -36,8 +36,8 @@ END = "</w>"
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 WHITE = regex.compile(r"\p{White_Space}+")
 CONTROLS = regex.compile(r"[\x1c-\x1f]")
-#: Words memoized per worker, and the longest word that is.
-MEMO_WORDS, MEMO_CHARS = 300_000, 64
+#: Words and fragments memoized per worker, and the longest that is.
+MEMO_WORDS, MEMO_FRAGMENTS, MEMO_CHARS = 600_000, 900_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -63,7 +63,8 @@ class TokenAutomaton:
         for rank, (u, v) in enumerate(spec["model"]["merges"], 1):
             self._add_gadget(rank, u, v)
         self.step: dict[tuple[int, int], bool] = {}
-        self.longest = max(len(s.removesuffix(END)) for s in self.arcs)
+        self.whole = {s: i for s, i in self.arcs.items() if self._whole(i)}
+        self.prefixes = {p[:i] for p in (s.removesuffix(END) for s in self.arcs) for i in range(1, len(p) + 1)}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
 
     def _add_gadget(self, rank: int, u: str, v: str) -> None:
@@ -96,39 +97,54 @@ class TokenAutomaton:
         return known
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-split word, by transitions from the start state."""
-        symbols = "".join(self.letters[b] for b in word.encode("utf-8", "surrogatepass"))
+        """Ids of one pre-split word: transitions from the start state, longest arc first.
+
+        One path alone reads the whole word; a place from which none goes on is left for good.
+        """
+        symbols = word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode("utf-8", "surrogatepass")])
         n = len(symbols)
-        last: list[tuple[int, int]] = [(-1, -1)] * (n + 1)  # per position: arc that ends there, where it starts
-        for end in range(1, n + 1):
-            tail = END if end == n else ""
-            for start in range(max(0, end - self.longest), end):
-                arc = self.arcs.get(symbols[start:end] + tail)
-                if arc is not None and (start == 0 or last[start][0] >= 0) and (not start or self.may_follow(last[start][0], arc)) and self._whole(arc):
-                    last[end] = (arc, start)
+        path: list[tuple[int, list[tuple[int, int]]]] = []  # (start, untried arcs with their ends)
+        out: list[int] = []
+        at, left = 0, self._arcs_from(symbols, 0, n)
+        dead: set[tuple[int, int]] = set()
+        follows = self.step.get
+        while at < n:
+            state = out[-1] if out else -1
+            while left:
+                arc, end = left.pop()
+                if (state < 0 or follows((state, arc)) or ((state, arc) not in self.step and self.may_follow(state, arc))) and not (dead and (end, arc) in dead):
+                    path.append((at, left))
+                    out.append(arc)
+                    at, left = end, self._arcs_from(symbols, end, n)
                     break
-        out, at = [], n
-        while at > 0:
-            arc, at = last[at]
-            if arc < 0:
-                raise ValueError(f"no path for {word!r}")
-            out.append(arc)
-        return out[::-1]
+            else:
+                if not out:
+                    raise ValueError(f"no path for {word!r}")
+                dead.add((at, out.pop()))
+                at, left = path.pop()
+        return out
+
+    def _arcs_from(self, symbols: str, start: int, n: int) -> list[tuple[int, int]]:
+        """(arc, end) of every label that begins at ``start``, shortest first."""
+        found = []
+        for end in range(start + 1, n + 1):
+            label = symbols[start:end]
+            if label not in self.prefixes:
+                break
+            arc = self.whole.get(label + END if end == n else label)
+            if arc is not None:
+                found.append((arc, end))
+        return found
 
     def _whole(self, arc: int) -> bool:
-        """Whether the symbols of ``arc`` end in this one token (its own halves may meet)."""
+        """Whether the symbols of ``arc`` end in this one token: nothing fires between its halves before it does."""
         if arc not in self.parts:
             return True
-        known = self.step.get((-1, arc))
-        if known is None:
-            u, v = self.parts[arc]
-            rank = self.rank[arc]
-            before = [(r, x, y, x_until, y_until) for x, x_until in self._edge(u, 1) for y, y_until in self._edge(v, 0) if (r := self.gadgets.get((x, y))) is not None]
-            known = self._whole(u) and self._whole(v) and not any(r < rank and r < x_until and r <= y_until for r, x, y, x_until, y_until in before)
-            self.step[-1, arc] = known
-        return known
+        (u, v), rank = self.parts[arc], self.rank[arc]
+        fires = self.gadgets.get
+        return not any((r := fires((x, y))) is not None and r < min(rank, x_until) and r <= y_until for x, x_until in self._edge(u, 1) for y, y_until in self._edge(v, 0))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.labels[i] for i in ids)
 
     def words(self, text: str) -> list[str]:
@@ -153,25 +169,34 @@ class TokenAutomaton:
 
 
 class Memo(dict):
-    """Keeps ``make(key)``; cleared when full. Long keys are made anew each time."""
+    """Keeps ``make(key)`` of the keys used lately, ``limit`` at most; long keys are made anew each time."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, limit: int = MEMO_WORDS) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.half, self.older = make, limit // 2, {}
 
     def __missing__(self, key: str):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
-def fragment_memo(automaton: TokenAutomaton, form, join) -> Memo:
-    """Fragment to a form of its ids, by way of a memo of its words."""
-    words = Memo(lambda word: form(automaton.encode_word(word)))
-    return Memo(lambda fragment: join([words[w] for w in automaton.words(fragment)]))
+_MEMOS: dict[tuple[int, str], Memo] = {}
+
+
+def fragment_memo(automaton: TokenAutomaton, name: str, form) -> Memo:
+    """Fragment to a form of its ids, by way of a memo of its words; kept by the worker for its next tasks."""
+    key = (id(automaton), name)
+    if key not in _MEMOS:
+        words = Memo(lambda word: struct.pack(f"<{len(ids := automaton.encode_word(word))}I", *ids))
+        _MEMOS[key] = Memo(lambda fragment: form(b"".join([words[w] for w in automaton.words(fragment)])), MEMO_FRAGMENTS)
+    return _MEMOS[key]
 
 
 _COMPILED: dict[int, TokenAutomaton] = {}
@@ -187,7 +212,7 @@ def compiled(vocabulary: str) -> TokenAutomaton:
 
 def id_bytes(automaton: TokenAutomaton):
     """A function from text to its ids as little-endian 32-bit integers."""
-    memo = fragment_memo(automaton, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
+    memo = fragment_memo(automaton, "bytes", lambda ids: ids)
 
     def encode(text: str | None) -> bytes:
         return b"".join(struct.pack("<I", special) if special is not None else b"".join(map(memo.__getitem__, f)) for special, f in automaton.pieces(text))
@@ -204,19 +229,22 @@ def load_vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
+def _shown(automaton: TokenAutomaton, ids: tuple[int, ...]) -> tuple[str, str]:
+    return " ".join(map(str, ids)), automaton.decode(ids)
+
+
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = compiled(vocabulary)
-        form = lambda ids: (" ".join(map(str, ids)), a.decode(ids))
-        memo = fragment_memo(a, form, lambda words: tuple(" ".join(x) for x in zip(*words)) or None)
+        memo = fragment_memo(a, "digest", lambda ids: _shown(a, struct.unpack(f"<{len(ids) // 4}I", ids)))
         for batch in batches:
             rows = []
             for text in batch.column("text"):
                 found = []
                 for special, w in a.pieces(text.as_py()):
-                    found += [form([special])] if special is not None else filter(None, map(memo.__getitem__, w))
+                    found += [_shown(a, (special,))] if special is not None else map(memo.__getitem__, w)
                 ids = " ".join([x[0] for x in found])
                 shown = " ".join([x[1] for x in found])
                 rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()))
