@@ -93,7 +93,7 @@ class Profile:
 
 def duplicate_rows(df: DataFrame) -> int:
     cols = data_columns(df)
-    total, groups = df.groupBy(*(c(n) for n in cols)).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    total, groups = df.groupBy(*(c(n) for n in cols)).agg(F.count(F.lit(1)).alias("_rows_of_group")).agg(F.coalesce(F.sum("_rows_of_group"), F.lit(0)), F.count(F.lit(1))).first()
     return total - groups
 
 

@@ -11,6 +11,8 @@ from ..config import CleanConfig
 from ..plans.repair import RID, c, data_columns
 from ..report import CleanReport
 
+COUNT = "_rows_of_group"
+
 
 def drop_duplicates(df: DataFrame, config: CleanConfig, report: CleanReport, rows: int | None = None) -> DataFrame:
     """Nulls are equal. Without a subset, equal rows are alike, so the kept row id is a grouped minimum
@@ -27,7 +29,7 @@ def drop_duplicates(df: DataFrame, config: CleanConfig, report: CleanReport, row
     if config.time_index and not config.allow_timeseries_duplicates and not config.duplicate_subset:
         return df
     keys = list(config.duplicate_subset or cols)
-    total, groups = df.groupBy(*(c(n) for n in keys)).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.count(F.lit(1))).first()
+    total, groups = df.groupBy(*(c(n) for n in keys)).agg(F.count(F.lit(1)).alias(COUNT)).agg(F.sum(COUNT), F.count(F.lit(1))).first()
     total = total or 0
     extra = total - groups
     if not extra:
@@ -36,7 +38,7 @@ def drop_duplicates(df: DataFrame, config: CleanConfig, report: CleanReport, row
     out = _kept(df, keys, cols, config)
     removed = extra
     if config.duplicate_keep == "drop":
-        removed = df.groupBy(*(c(n) for n in keys)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.sum("n")).first()[0]
+        removed = df.groupBy(*(c(n) for n in keys)).agg(F.count(F.lit(1)).alias(COUNT)).filter(F.col(COUNT) > 1).agg(F.sum(COUNT)).first()[0]
     high = share > config.duplicate_threshold
     report.add("drop_duplicates", f"removed {removed} duplicate row(s) ({100 * share:.1f}%), keep={config.duplicate_keep}", count=removed, risk="medium" if high else "low", rationale="equal rows carry no further information")
     report.duplicates_removed += removed
@@ -60,7 +62,7 @@ def _kept(df: DataFrame, keys: list[str], cols: list[str], config: CleanConfig)
                 rest.append(F.min_by(c(n), F.when(c(n).isNotNull(), F.col(RID))).alias(n))
         return df.groupBy(*(c(n) for n in keys)).agg(*rest, F.min(RID).alias(RID)).select(*(c(n) for n in cols), RID)
     if how == "drop":
-        return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*(c(n) for n in keys)))).filter("_n = 1").drop("_n")
+        return df.withColumn(COUNT, F.count(F.lit(1)).over(Window.partitionBy(*(c(n) for n in keys)))).filter(F.col(COUNT) == 1).drop(COUNT)
     if len(keys) == len(cols):
         pick = F.max(RID) if how == "last" else F.min(RID)
         return df.groupBy(*(c(n) for n in cols)).agg(pick.alias(RID)).select(*(c(n) for n in cols), RID)

@@ -14,6 +14,8 @@ from ..config import CleanConfig
 from .repair import RID, agg_row, c
 
 MIN_ROWS = 30
+#: Rows up to which every distinct count is exact.
+EXACT_ROWS = 100_000
 #: Names that give a column its role.
 ID_NAME = re.compile(r"(?:^|[_\s])(?:id|uuid|guid|key)s?$|^(?:id|index|pk)$", re.I)
 TARGET_NAMES = {"target", "label", "y", "outcome", "class", "response", "aqi", "score", "rating", "churn", "default", "conversion"}
@@ -117,7 +119,7 @@ def build_contexts(df: DataFrame, config: CleanConfig, need_modes: bool = True)
             measures |= {(n, "skew"): F.skewness(x), (n, "mean"): F.avg(x), (n, "std"): F.stddev_samp(x)}
     m = agg_row(df, measures)
     rows = m["*"]
-    near = [n for n, k in fields.items() if k in ("integer", "string") and m[n, "n"] >= 20 and m[n, "distinct"] >= 0.9 * m[n, "n"] and not is_target(n, config) and not ID_NAME.search(n)]
+    near = [n for n, k in fields.items() if k != "nested" and (rows <= EXACT_ROWS or (k in ("integer", "string") and m[n, "n"] >= 20 and m[n, "distinct"] >= 0.9 * m[n, "n"] and not is_target(n, config) and not ID_NAME.search(n)))]
     exact = agg_row(df, {n: F.count_distinct(c(n)) for n in near}) if near else {}
     texts = [n for n, k in fields.items() if k == "string"]
     shape = _text_shape(df, texts)
