@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CleanConfig
-from ..plans.context import MIN_ROWS, ColumnContext
+from ..plans.context import MIN_ROWS, ColumnContext, row_range
 from ..plans.repair import RID, agg_row, c
 from ..report import CleanReport
 from .outliers import fences, quantile
@@ -260,14 +260,16 @@ def time_fill(df: DataFrame, name: str) -> DataFrame:
     Row order is cut in ranges; a range carries on from the last value of the
     ranges before it (one row each), so no single task sees the whole table.
     """
-    ranged = df.repartitionByRange(RID).sortWithinPartitions(RID).withColumn("_p", F.spark_partition_id())
-    ends = ranged.groupBy("_p").agg(F.max_by(c(name), F.when(c(name).isNotNull(), F.col(RID))).alias("_last"), F.min_by(c(name), F.when(c(name).isNotNull(), F.col(RID))).alias("_first"))
-    over = Window.orderBy("_p")  # one row per range
-    carry = ends.select("_p", F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    ranged = df.withColumn("_p", row_range(df))
+    known = F.when(c(name).isNotNull(), F.col(RID))
+    ends = ranged.groupBy("_p").agg(F.max_by(c(name), known).alias("_last"), F.min_by(c(name), known).alias("_first"))
+    before, after = Window.orderBy("_p"), Window.orderBy(F.desc("_p"))  # one row per range
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("_p", F.last("_last", True).over(upto(before)).alias("_before"), F.last("_first", True).over(upto(after)).alias("_after"))
     rows = ranged.join(F.broadcast(carry), "_p", "left")  # as many rows as ranges
-    w = Window.partitionBy("_p").orderBy(RID)
-    value = F.coalesce(F.last(c(name), True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"), F.first(c(name), True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("_after"))
-    return rows.withColumn(name, value).select(*(c(n) for n in df.columns))
+    up, down = (Window.partitionBy("_p").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(RID), F.desc(RID)))
+    value = F.coalesce(F.last(c(name), True).over(up), F.col("_before"), F.last(c(name), True).over(down), F.col("_after"))
+    return rows.withColumn("_filled", value).withColumn(name, F.col("_filled")).select(*(c(n) for n in df.columns))
 
 
 def knn_fill(df: DataFrame, name: str, partners: list[str], fallback: float | None) -> DataFrame:

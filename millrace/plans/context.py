@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -166,13 +166,24 @@ def modes(df: DataFrame, cols: list[str], contexts: dict[str, ColumnContext]) ->
     return {r["name"]: (r["value"] == "true" if contexts[r["name"]].kind == "boolean" else r["value"], r["n"] / r["total"]) for r in top.collect()}
 
 
+def row_range(df: DataFrame) -> Column:
+    """The range of the row order a row lies in, by fixed bounds: about as many ranges as shuffle partitions."""
+    kind = df.schema[RID].dataType
+    if kind_of(kind) not in ("integer", "double", "datetime"):
+        return F.lit(0)
+    at = F.col(RID).cast("timestamp").cast("double") if kind_of(kind) == "datetime" else F.col(RID).cast("double")
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    bounds = df.select(F.percentile_approx(at, [i / n for i in range(1, n)], 1000)).first()[0] or []
+    return F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))), lambda b: b <= at)) if bounds else F.lit(0)
+
+
 def is_ordered(df: DataFrame, name: str) -> bool:
     """Whether non-null times never fall in row order.
 
     Each partition of the row order keeps its lowest, highest and first values;
     only those meet, so no task sees the whole column.
     """
-    ranged = df.select(F.col(RID).alias("r"), c(name).alias("v")).filter("v is not null").repartitionByRange("r").sortWithinPartitions("r").withColumn("p", F.spark_partition_id())
+    ranged = df.select(F.col(RID).alias("r"), c(name).alias("v"), row_range(df).alias("p")).filter("v is not null")
     w = Window.partitionBy("p").orderBy("r")
     per = ranged.withColumn("fall", F.col("v") < F.lag("v").over(w)).groupBy("p").agg(F.max("fall").alias("fall"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     parts = sorted(per.collect(), key=lambda r: r["p"])  # one row per partition
