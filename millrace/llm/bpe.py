@@ -37,7 +37,7 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{
 WHITE = regex.compile(r"\p{White_Space}+")
 CONTROLS = regex.compile(r"[\x1c-\x1f]")
 #: Words and fragments memoized per worker, and the longest that is.
-MEMO_WORDS, MEMO_FRAGMENTS, MEMO_CHARS = 600_000, 900_000, 64
+MEMO_WORDS, MEMO_FRAGMENTS, MEMO_CHARS = 600_000, 1_000_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -64,7 +64,8 @@ class TokenAutomaton:
             self._add_gadget(rank, u, v)
         self.step: dict[tuple[int, int], bool] = {}
         self.whole = {s: i for s, i in self.arcs.items() if self._whole(i)}
-        self.prefixes = {p[:i] for p in (s.removesuffix(END) for s in self.arcs) for i in range(1, len(p) + 1)}
+        self.prefixes = {p[:i]: -1 for p in (s.removesuffix(END) for s in self.arcs) for i in range(1, len(p) + 1)}
+        self.prefixes |= {s: i for s, i in self.whole.items() if not s.endswith(END)}  # label, or the start of one, to its arc or -1
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
 
     def _add_gadget(self, rank: int, u: str, v: str) -> None:
@@ -127,13 +128,16 @@ class TokenAutomaton:
     def _arcs_from(self, symbols: str, start: int, n: int) -> list[tuple[int, int]]:
         """(arc, end) of every label that begins at ``start``, shortest first."""
         found = []
-        for end in range(start + 1, n + 1):
-            label = symbols[start:end]
-            if label not in self.prefixes:
-                break
-            arc = self.whole.get(label + END if end == n else label)
-            if arc is not None:
+        look = self.prefixes.get
+        for end in range(start + 1, n):
+            arc = look(symbols[start:end])
+            if arc is None:
+                return found
+            if arc >= 0:
                 found.append((arc, end))
+        arc = self.whole.get(symbols[start:n] + END)
+        if arc is not None:
+            found.append((arc, n))
         return found
 
     def _whole(self, arc: int) -> bool:
@@ -147,10 +151,16 @@ class TokenAutomaton:
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.labels[i] for i in ids)
 
-    def words(self, text: str) -> list[str]:
+    def words(self, fragment: str) -> list[str]:
         """Normalized pre-split words of a text without special tokens."""
-        text = unicodedata.normalize("NFC", text)
-        return WORD.findall(text.lower() if text.isascii() else "".join(c.lower() for c in text))
+        if is_plain(fragment):
+            low = fragment.lower()
+            if low.isalpha() and "'" not in low:
+                return [low]
+            if low[:-1].isalpha() and low[-1] in ".,;:!?":
+                return [low[:-1], low[-1]]
+            return WORD.findall(low)
+        return WORD.findall("".join([c.lower() for c in unicodedata.normalize("NFC", fragment)]))
 
     def pieces(self, text: str | None) -> Iterator[tuple[int | None, list[str]]]:
         """(id, []) for a special token; (None, fragments) for the text between them.
@@ -164,10 +174,23 @@ class TokenAutomaton:
             if part in self.specials:
                 yield self.specials[part], []
             elif part:
+                if is_plain(part):
+                    part = part.lower()
                 odd = CONTROLS.search(part)  # str.split() takes these as white space, the vocabulary doesn't
                 yield None, (WHITE.sub(" ", part).split(" ") if odd else part.split())
 
 
+def is_plain(text: str) -> bool:
+    """Whether lower-casing letter by letter is all that normalizing does: Latin-1 text, which NFC leaves as it is."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Memo(dict):
     """Keeps ``make(key)`` of the keys used lately, ``limit`` at most; long keys are made anew each time."""
 
@@ -195,7 +218,13 @@ def fragment_memo(automaton: TokenAutomaton, name: str, form) -> Memo:
     key = (id(automaton), name)
     if key not in _MEMOS:
         words = Memo(lambda word: struct.pack(f"<{len(ids := automaton.encode_word(word))}I", *ids))
-        _MEMOS[key] = Memo(lambda fragment: form(b"".join([words[w] for w in automaton.words(fragment)])), MEMO_FRAGMENTS)
+
+
+        def ids(fragment: str):
+            found = automaton.words(fragment)
+            return form(words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found]))
+
+        _MEMOS[key] = Memo(ids, MEMO_FRAGMENTS)
     return _MEMOS[key]
 
 
