@@ -162,42 +162,47 @@ def solve(histogram: dict[int, int], size: int = SIZE, nodes: int = NODES) -> tu
     best = best_fit(histogram, size)
     budget = [nodes]
 
-    def branch(counts: dict[int, int], done: list[Pattern], used: int, waste: int) -> None:
+    left, done = dict(histogram), []  # changed in place on the way down, restored on the way up
+
+    def branch(used: int, waste: int) -> None:
         nonlocal best
         if budget[0] <= 0 or bins_of(best) <= bound:
             return
         budget[0] -= 1
         if len(done) % COMPLETE == 0 or len(done) < 4:
-            rest = best_fit(counts, size)  # a best-fit completion is an incumbent too
+            rest = best_fit(left, size)  # a best-fit completion is an incumbent too
             if used + bins_of(rest) < bins_of(best):
                 best = done + rest
         allowed = (bins_of(best) - 1) * size - total
-        left = {k: n for k, n in counts.items() if n}
-        if not left and used < bins_of(best):
-            best = done
-        if not left or waste > allowed:
+        lengths = sorted((k for k, n in left.items() if n), reverse=True)
+        if not lengths and used < bins_of(best):
+            best = list(done)
+        if not lengths or waste > allowed:
             return
-        lengths = sorted(left, reverse=True)
         top = lengths[0]
         left[top] -= 1
         options = fillings([x for x in lengths if left[x]], left, size - top)
         left[top] += 1
+        del lengths
         for f in options or [()]:
             items = (top, *f)
             times = min(left[x] // items.count(x) for x in set(items))
             lost = (size - sum(items)) * times
             if waste + lost > allowed:
                 continue
-            after = dict(left)
-            for x in set(items):
-                after[x] -= times * items.count(x)
-            branch(after, [*done, Pattern(items, times)], used + times, waste + lost)
+            for x in items:
+                left[x] -= times
+            done.append(Pattern(items, times))
+            branch(used + times, waste + lost)
+            done.pop()
+            for x in items:
+                left[x] += times
 
     if bins_of(best) > bound and histogram:
         import sys
 
         sys.setrecursionlimit(max(sys.getrecursionlimit(), nodes * 4 + 1000))
-        branch(histogram, [], 0, 0)
+        branch(0, 0)
     return best, bound
 
 
