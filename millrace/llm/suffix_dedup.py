@@ -41,6 +41,9 @@ SIZE, GRAM = 100, 48
 #: An anchor is hot from so many places on, or so many a MB of input if that is more:
 #: a text of n bytes has n / 27 anchors, so at most about 50,000 anchors are hot.
 HOT, HOT_PER_MB = 2000, 2
+#: Texts held at once, bytes of distinct stretches held before they are sent,
+#: and rows of packed places or windows that may be broadcast.
+SLICE, HELD, PACKED_ROWS = 2000, 16_000_000, 20_000
 #: Bytes hashed at once; longer texts are taken in overlapping parts.
 PART = 1 << 20
 _rng = np.random.default_rng(7_100_048)
@@ -115,6 +118,12 @@ class Winnower:
             begin += len(part)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def prints(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, print and sha256 of each text."""
 
@@ -143,7 +152,7 @@ def repeated_anchors(docs: DataFrame, n_buckets: int, hot: int, size: int, gram:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Winnower(size, gram)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_pylist()
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column("text")]
             hashes, docs_, places = [], [], []
@@ -240,7 +249,7 @@ def stretches(docs: DataFrame, anchors: DataFrame, hot: np.ndarray, n_buckets: i
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "doc", "start", "length", "owned", "bytes"])
 
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_pylist()
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column("text")]
             wanted = [np.sort(np.frombuffer(b"".join(p), np.uint32)) for p in batch.column("places").to_pylist()]
@@ -257,14 +266,14 @@ def stretches(docs: DataFrame, anchors: DataFrame, hot: np.ndarray, n_buckets: i
                     text = texts[i][a : b + size]
                     held.add(text, b - a + 1, ids[i], a)
                     keys[text, b - a + 1] = key
-            if held.bytes > 48_000_000:
+            if held.bytes > HELD:
                 yield from flush()
                 held = Stretches()
                 keys.clear()
         yield from flush()
 
     grouped = anchors.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    rows = docs.join(maybe_broadcast(grouped), "doc_id").select("doc_id", "text", "places")
+    rows = docs.join(maybe_broadcast(grouped, PACKED_ROWS), "doc_id").select("doc_id", "text", "places")
     return rows.mapInArrow(run, CUTS)
 
 
@@ -418,7 +427,7 @@ def cut_texts(docs: DataFrame, cuts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_removed", "n_spans", "kept_sha256"])
 
     grouped = cuts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
-    return docs.join(maybe_broadcast(grouped), "doc_id").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.join(maybe_broadcast(grouped, PACKED_ROWS), "doc_id").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -434,7 +443,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFra
     anchors = repeated_anchors(own, max(24, int(1.5 * mb / BUCKET_MB) + 1), max(HOT, int(HOT_PER_MB * mb)), size, gram)
     heavy = [np.frombuffer(r[0], np.uint64) for r in anchors.filter("doc_id < 0 and length(places) > 0").select("places").collect()]
     hot = np.unique(np.concatenate(heavy)) if heavy else np.zeros(0, np.uint64)
-    packed = materialize(stretches(own, anchors.filter("doc_id >= 0"), hot, max(48, int(0.6 * mb) + 1), size, gram), "stretches")
+    packed = materialize(stretches(own, anchors.filter("doc_id >= 0"), hot, max(48, int(2 * mb) + 1), size, gram), "stretches")
     cuts = materialize(sorted_cuts(packed, size), "cuts")
     release(anchors, packed)
     done = materialize(cut_texts(own, cuts, size).dropDuplicates(["doc_id"]), "cut-texts")
