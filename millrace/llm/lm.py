@@ -41,8 +41,8 @@ VOCABULARY, MAX_NGRAMS = 60_000, 2_000_000
 DISCOUNT, MIN_COUNT = 0.75, 2
 RARE, START = 65_534, 65_535  # ids of the rare class and of the state before the first word
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line end
-CHUNK_TOKENS = 4_000_000
-BUCKET_MB = 24
+CHUNK_TOKENS = 2_500_000
+BUCKET_MB = 12
 
 
 def held_out(doc_id) -> bool:

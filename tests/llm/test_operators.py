@@ -1,0 +1,284 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, exact_dedup, licenses, lm, near_dedup, packing, pii, quality, secrets_scan, suffix_dedup
+
+TEXTS = [
+    "the quick brown fox jumps over the lazy dog and runs far away from the big bad wolf of the north woods",
+    "the quick brown fox jumps over the lazy dog and runs far away from the big bad wolf of the north woods",
+    "The quick brown fox jumps over the lazy dog and runs far away from the big bad wolf of the north woods today",
+    None,
+    "",
+    "   \n\t ",
+    "mail bob.smith@example.com or call +1 (377) 555-0271 from 10.0.0.255, card 4111 1111 1111 1111",
+    'config token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" end\nLicensed under the Apache License, Version 2.0.',
+    "word " * 3000,
+    "héllo wörld 日本語 <|endoftext|> it's 42",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s1", 7) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int").cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def table(df):
+    return df.toPandas().set_index("doc_id").sort_index()
+
+
+def test_exact_dedup(docs, none):
+    got = table(exact_dedup.exact_dedup(docs, capacity=1, max_depth=4))
+    assert got.loc[[0, 1], "keep_id"].tolist() == [1, 1] and got.loc[[3, 4], "keep_id"].tolist() == [4, 4]
+    assert got["kept"].sum() == 8 and got.loc[3, "text_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert exact_dedup.exact_dedup(none).count() == 0
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == 8
+
+
+def test_directory_doubles_until_no_bucket_is_overfull(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"), F.lit(1).alias("n"))
+    buckets = exact_dedup.directory(keys, capacity=100, max_depth=10)
+    assert sum(n for _, _, n in buckets) == 5000 and max(n for _, _, n in buckets) <= 100
+    assert sum(1 << (10 - d) for _, d, _ in buckets) == 1 << 10
+
+
+@pytest.fixture(scope="module")
+def automaton():
+    return bpe.TokenAutomaton(bpe.load_vocabulary())
+
+
+def test_bpe_equals_the_library(automaton):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encode, r = bpe.id_bytes(automaton), random.Random(1)
+    labels = [s.removesuffix(bpe.END) for s in automaton.arcs]
+    letters = "aaabbcdeéèñßthin '.,!?0123-_ \t\n ΣσςİıI日本한😀<|endoftext|>\x1c\x85"
+    texts = [t or "" for t in TEXTS[:-2]] + [TEXTS[-1]] + ["".join(r.choice(letters) for _ in range(30)) for _ in range(300)] + ["".join(r.choice(labels) for _ in range(5)) for _ in range(300)]
+    for t in texts:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(encode(t), np.uint32).tolist() == ids
+        assert automaton.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_digests(docs, none, automaton):
+    got = table(bpe.digests(docs, bpe.load_vocabulary()))
+    assert len(got) == 10 and got.loc[3, "n_tokens"] == 0 and got.loc[8, "n_tokens"] == 3000
+    assert bpe.digests(none, bpe.load_vocabulary()).count() == 0
+
+
+def test_pii_equals_the_patterns(docs, none):
+    patterns = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+    def brute(t):
+        out = []
+        for k, p in enumerate(patterns):
+            for m in p.finditer(t):
+                digits = re.sub("[^0-9]", "", m.group())
+                if k == 0 or (k == 1 and all(int(x) < 256 for x in m.group().split("."))) or (k == 2 and 14 <= len(digits) <= 19 and pii.luhn(digits)) or (k == 3 and 10 <= len(digits) <= 15):
+                    out.append((m.start(), k, m.end()))
+        return sorted(out)
+
+    found, r = pii.anchors(), random.Random(3)
+    for _ in range(5000):
+        t = "".join(r.choice("012345.@+- ()ab.é_") for _ in range(r.randint(0, 40)))
+        assert [s for s in pii.spans(t, found) if s[1] < 4] == brute(t)
+    got = table(pii.scan(docs))
+    assert got.loc[6, ["n_email", "n_ip", "n_card", "n_phone"]].tolist() == [1, 1, 1, 1]
+    assert got.loc[3, "spans"] == "" and pii.scan(none).count() == 0
+    assert [k for _, k, _ in pii.spans("IBAN GB82 WEST 1234 5698 7654 32, https://u:pw@host.io/x", found) if k > 3] == [4, 5]
+
+
+def test_packing_solver_keeps_every_piece():
+    r = random.Random(1)
+    for case in range(40):
+        size = r.choice([10, 50, 100])
+        lengths = Counter(r.randint(1, size) if case % 3 else r.randint(size // 4, size // 2) for _ in range(r.randint(0, 150)))
+        patterns, bound = packing.solve(lengths, size, 200)
+        used = Counter()
+        for p in patterns:
+            assert sum(p.lengths) <= size
+            for x in p.lengths:
+                used[x] += p.count
+        assert used == +lengths and bound <= packing.bins_of(patterns) <= packing.bins_of(packing.best_fit(lengths, size))
+
+
+def test_packing(docs, none, automaton):
+    got = packing.pack(docs, bpe.load_vocabulary(), size=64).toPandas()
+    assert set(got.doc_id) == set(range(10)) and got.length.max() == 64
+    g = got.sort_values(["sequence_id", "offset"])
+    assert ((g.groupby("sequence_id").length.cumsum() - g.length) == g.offset).all() and g.groupby("sequence_id").length.sum().max() <= 64
+    ids = bpe.id_bytes(automaton)(TEXTS[0]) + b"\0\0\0\0"
+    assert got[(got.doc_id == 0) & (got.piece == 0)].ids_crc32.tolist() == [zlib.crc32(ids[:256])]
+    assert packing.pack(none, bpe.load_vocabulary()).count() == 0
+
+
+def test_near_dedup_against_all_pairs(spark, docs, none):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choice(words) for _ in range(120)) for _ in range(12)]
+    for base in texts[:6]:
+        for _ in range(12):
+            w = base.split()
+            w[r.randrange(len(w))] = "edit"
+            texts.append(" ".join(w))
+    texts += [None, "", "one two"] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    forest = near_dedup.Forest()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                forest.join(i, j)
+    block, near_dedup.BLOCK = near_dedup.BLOCK, 5
+    try:
+        got = table(near_dedup.near_dedup(df))
+    finally:
+        near_dedup.BLOCK = block
+    assert got["component_id"].tolist() == [forest.find(i) for i in range(len(texts))]
+    assert got["n_shingles"].tolist() == [len(s) for s in sets]
+    assert near_dedup.near_dedup(none).count() == 0
+    assert near_dedup.keep_first(docs).columns == docs.columns
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    x, y = secrets_scan.featured(spark, secrets_scan.labelled_findings(400, seed=7))
+    forest = secrets_scan.forest_of(spark)
+
+    def value(node, v):
+        while not isinstance(node, float):
+            node = node[2] if v[node[0]] <= node[1] else node[3]
+        return node
+
+    score = np.array([np.mean([value(t, v) for t in forest]) for v in x])
+    assert ((score >= secrets_scan.CUTOFF) == y).mean() > 0.97
+
+
+def test_secret_scan_and_redaction(docs, none):
+    got = table(secrets_scan.scan(docs))
+    assert got["n_secrets"].tolist() == [0] * 7 + [1, 0, 0]
+    a, b = map(int, got.loc[7, "spans"].split(":"))
+    assert TEXTS[7][a:b] == "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    clean = secrets_scan.redact(docs).toPandas().set_index("doc_id")
+    assert clean.loc[7, "text"] == TEXTS[7][:a] + secrets_scan.MASK + TEXTS[7][b:] and clean.loc[0, "text"] == TEXTS[0]
+    assert clean.loc[3, "text"] is None and secrets_scan.scan(none).count() == 0
+
+
+def test_suffix_order_is_sorted():
+    r = random.Random(5)
+    for _ in range(200):
+        size, text, starts, ends = r.choice([3, 5, 8]), b"", [], []
+        for _ in range(r.randint(1, 12)):
+            n = r.randint(1, 9)
+            starts.append(len(text))
+            ends.append(len(text) + n)
+            text += bytes(r.choice(b"aab") for _ in range(n + size - 1))
+        order = suffix_dedup.suffix_order(text, starts, ends, size)
+        keys = [text[i : i + size] for i in order]
+        assert keys == sorted(keys) and sorted(order) == [i for a, b in zip(starts, ends) for i in range(a, b)]
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_suffix_dedup_against_all_windows(spark, none, hot):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefg") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    passage = " ".join(r.choice(words) for _ in range(60))
+    texts = [" ".join(r.choice(words) for _ in range(80)) + (" " + passage if i % 2 else "") + " é" for i in range(14)] + ["ab" * 400, passage, passage, None, "", "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before, suffix_dedup.HOT = suffix_dedup.HOT, hot
+    try:
+        got = table(suffix_dedup.suffix_dedup(df))
+    finally:
+        suffix_dedup.HOT = before
+    seen = set()
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        gone = np.zeros(len(data), bool)
+        for s in range(len(data) - 99):
+            w = data[s : s + 100]
+            gone[s : s + 100] |= w in seen
+            seen.add(w)
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        kept = hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()
+        assert got.loc[i].tolist() == [len(data), int(gone.sum()), spans, kept]
+    assert suffix_dedup.suffix_dedup(none).count() == 0
+
+
+def test_license_scan(docs, none):
+    model = licenses.train(licenses.background_of(docs))
+    got = table(licenses.scan(docs, model))
+    assert got["top"].tolist() == ["unknown"] * 7 + ["apache-2.0", "unknown", "unknown"]
+    for family, lines in licenses.TEMPLATES.items():
+        assert [model.classify(x)[0] for x in lines] == [family] * len(lines)
+    assert model.classify("he was licensed to drive a car under the bridge")[0] == "unknown"
+    assert licenses.scan(none, model).count() == 0
+
+
+def test_lm_scores(docs, none):
+    got = table(lm.score(docs, vocabulary=8))
+    counts, words = Counter(), {}
+    for i, t in enumerate(TEXTS):
+        words[i] = (t or "").encode().lower().split() + [b"\n"]
+        if not lm.held_out(i):
+            counts.update(words[i])
+    n, v = sum(counts.values()), len(counts)
+    for i, w in words.items():
+        base = sum(np.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        assert got.loc[i, "base_score"] == pytest.approx(base) and got.loc[i, "n_known"] == sum(counts[x] > 0 for x in w)
+        assert got.loc[i, "train_tokens"] == n and got.loc[i, "score"] < 0
+    assert lm.score(none).count() == 0
+
+
+def test_lm_states_sum_to_one():
+    head = lm.Head(np.arange(5, dtype=np.uint64), np.array([40, 30, 20, 9, 1]), 100, 5)
+    pairs = np.array([0 << 16 | 1, 0 << 16 | 2, 1 << 16 | 0], np.uint32)
+    a = lm.smooth(pairs, np.array([12.0, 5.0, 20.0]), head, 10)
+    for state in (0, 1, 2):
+        arcs = {int(p & 65535): w for p, w in zip(a.arcs, a.weights) if p >> 16 == state}
+        total = sum(10 ** arcs.get(w, a.failure[state] + a.root[w]) for w in range(5))
+        others = 10 ** (a.failure[state] + a.root[lm.RARE])
+        assert total + others == pytest.approx(1, abs=0.02)
+
+
+def test_quality_counts(docs, none):
+    got = table(quality.quality(docs))
+    for i, t in enumerate(TEXTS):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        windows = [tuple(w[j : j + 8]) for j in range(len(w) - 7)]
+        count = Counter(windows)
+        covered = {k for j, x in enumerate(windows) if count[x] > 1 for k in range(j, j + 8)}
+        assert got.loc[i, ["n_words", "word_chars", "n_repeat_words"]].tolist() == [len(w), sum(map(len, w)), len(covered)]
+    assert got["base_failed"].tolist() == [False, False, False] + [True] * 7 and got.loc[0, "kept"]
+    assert quality.quality(none).count() == 0
+    assert quality.keep_good(docs).columns == docs.columns
+
+
+def test_pipeline_runs_whole(spark):
+    import os
+
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the driver's tables")
+    out = corpus_pipeline.run(spark, d).toPandas()
+    assert out.groupby("sequence_id").length.sum().max() <= packing.SIZE and out.doc_id.nunique() > 100
