@@ -34,7 +34,8 @@ MIN_GROUP = 200
 #: Spreads beyond the quartile at which a document fails, and sketch size.
 SPREADS, SKETCH_K = 6.0, 400
 #: Measures and the floors below (above) which no threshold falls (rises).
-HIGH = {"symbol_share": 0.2, "dup_line_share": 0.4, "repeat_share": 0.15, "word_length": 12.0}
+#: Repetition has its fixed rule: below that, short texts with one repeated line are ordinary.
+HIGH = {"symbol_share": 0.2, "dup_line_share": 0.4, "word_length": 12.0}
 LOW = {"word_length": 2.5}
 
 
@@ -106,7 +107,6 @@ def shares() -> dict[str, Column]:
     return {
         "symbol_share": F.col("n_symbols") / words,
         "dup_line_share": F.col("n_dup_lines") / words * 10,
-        "repeat_share": F.col("n_repeat_words") / words,
         "word_length": F.col("word_chars") / words,
     }
 
