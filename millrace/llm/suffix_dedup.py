@@ -41,9 +41,8 @@ SIZE, GRAM = 100, 48
 #: An anchor is hot from so many places on, or so many a MB of input if that is more:
 #: a text of n bytes has n / 27 anchors, so at most about 50,000 anchors are hot.
 HOT, HOT_PER_MB = 2000, 2
-#: Texts held at once, bytes of distinct stretches held before they are sent,
-#: and rows of packed places or windows that may be broadcast.
-SLICE, HELD, PACKED_ROWS = 2000, 16_000_000, 20_000
+#: Texts held at once, and bytes of distinct stretches held before they are sent.
+SLICE, HELD = 2000, 16_000_000
 #: Bytes hashed at once; longer texts are taken in overlapping parts.
 PART = 1 << 20
 _rng = np.random.default_rng(7_100_048)
@@ -273,7 +272,7 @@ def stretches(docs: DataFrame, anchors: DataFrame, hot: np.ndarray, n_buckets: i
         yield from flush()
 
     grouped = anchors.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    rows = docs.join(maybe_broadcast(grouped, PACKED_ROWS), "doc_id").select("doc_id", "text", "places")
+    rows = docs.join(grouped.hint("merge"), "doc_id").select("doc_id", "text", "places")
     return rows.mapInArrow(run, CUTS)
 
 
@@ -427,7 +426,7 @@ def cut_texts(docs: DataFrame, cuts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_removed", "n_spans", "kept_sha256"])
 
     grouped = cuts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
-    return docs.join(maybe_broadcast(grouped, PACKED_ROWS), "doc_id").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.join(grouped.hint("merge"), "doc_id").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
