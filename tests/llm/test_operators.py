@@ -248,6 +248,33 @@ def test_lm_scores(docs, none):
     assert lm.score(none).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary, max_ngrams", [(0, 0), (6, 3), (60_000, 2_000_000)])
+def test_lm_scores_every_word_and_pair(spark, vocabulary, max_ngrams):
+    r = random.Random(9)
+    words = [f"w{int(r.expovariate(0.05))}" for _ in range(4000)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(60)] + ["rare1 rare2 w1"] * 8
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "another text of a known id")]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary=vocabulary, max_ngrams=max_ngrams).toPandas()
+    one, two, states, types = Counter(), Counter(), Counter(), Counter()
+    split = [(i, ["<s>", *t.encode().split(), b"\n"]) for i, t in rows]
+    for i, w in split:
+        if not lm.held_out(i):
+            one.update(w[1:])
+            two.update(zip(w, w[1:]))
+    for (s, _), n in two.items():
+        states[s] += n
+        types[s] += 1
+    n, v, want = sum(one.values()), len(one), []
+    for i, w in split:
+        total = 0.0
+        for s, x in zip(w, w[1:]):
+            left = lm.DISCOUNT * types[s] / states[s] if states[s] else 1.0
+            p = max(two[s, x] - lm.DISCOUNT, 0) / max(states[s], 1) + left * (one[x] + 0.5) / (n + 0.5 * (v + 1))
+            total += np.log10(p)
+        want.append((i, len(w) - 1, total))
+    assert sorted(zip(got.doc_id, got.n_tokens, got.score.round(6))) == [(i, k, pytest.approx(x, abs=1e-5)) for i, k, x in sorted(want)]
+
+
 def test_lm_states_sum_to_one():
     head = lm.Head(np.arange(5, dtype=np.uint64), np.array([40, 30, 20, 9, 1]), 100, 5)
     pairs = np.array([0 << 16 | 1, 0 << 16 | 2, 1 << 16 | 0], np.uint32)
