@@ -47,8 +47,10 @@ VOCABULARY, MAX_NGRAMS = 60_000, 2_000_000
 DISCOUNT, MIN_COUNT = 0.75, 2
 RARE, START = 65_534, 65_535  # ids of words that are not broadcast and of the state before the first word
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line end
-CHUNK_TOKENS, SCORED_TOKENS = 2_500_000, 1_000_000
-BUCKET_MB = 12
+CHUNK_TOKENS, SCORED_TOKENS = 1_500_000, 400_000
+BUCKET_MB = 6
+#: Words whose hashes a task remembers.
+MEMO = 400_000
 
 
 def held_out(doc_id) -> bool:
@@ -68,6 +70,7 @@ class Tokens(NamedTuple):
 def tokens(batches: Iterator[pa.RecordBatch], most: int = CHUNK_TOKENS) -> Iterator[Tokens]:
     """Texts in chunks of about ``most`` tokens; a longer text is a chunk of its own."""
     memo = WordHashes()
+    memo.limit = MEMO
     ids, rows, parts, n = [], [], [], 0
     for batch in batches:
         of_row = batch.column("row" if "row" in batch.schema.names else "doc_id").to_pylist()
@@ -397,6 +400,7 @@ def bucket_sums(routed: DataFrame, arcs: DataFrame, head: Head, automaton: Autom
     """Kinds doc and sum by row: what each bucket's counts add to the rows."""
     n_docs = _buckets(2 * mb)
     norm = np.log10(head.tokens + 0.5 * (head.types + 1))
+    automaton = automaton._replace(arcs=automaton.arcs[:0], weights=automaton.weights[:0])  # what the buckets don't read stays here
 
     def counted(key: np.ndarray, c: pd.Series) -> tuple:
         """Distinct keys with their training counts; of each row its place among them and its count."""
