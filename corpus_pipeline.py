@@ -12,6 +12,10 @@ from millrace.llm import bpe, exact_dedup, near_dedup, packing, quality, secrets
 from millrace.llm._shared import materialize, read_table
 
 
+#: Per cent of shared shingles from which two documents are near copies.
+NEAR = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     return quality.keep_good(docs)
@@ -24,7 +28,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a group of near copies the one with the smallest doc_id stays."""
-    return near_dedup.keep_first(docs)
+    return near_dedup.keep_first(docs, NEAR)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

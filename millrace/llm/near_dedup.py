@@ -13,9 +13,9 @@ a third of all rows) are first split into blocks, then the members that are not
 yet in the cluster's largest component are compared with all others, tile by
 tile; pairs that are already connected are skipped, as they change nothing.
 
-Shingles are compared by 64-bit hashes. The forest finds a pair of similarity
-0.85 with probability 1 - (1 - 0.85**MIN_DEPTH)**TREES, about 0.9995, and more
-similar pairs nearly always.
+Shingles are compared by 64-bit hashes. Outside dense regions the forest finds a
+pair of similarity s with probability 1 - (1 - s**depth)**TREES, and the least
+depth follows from the threshold: 6 at 85 (about 0.9995), 4 at 80 (0.9998).
 
 Defined results: a null text or one without words has the empty set and is
 linked with nothing; with fewer words than a shingle has, the whole sequence is
@@ -52,8 +52,19 @@ _rng = np.random.default_rng(20_240_229)
 MULTIPLIERS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 ADDENDS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 PLACES = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
-#: Tree t reads the hashes from t * MIN_DEPTH on: the first MIN_DEPTH of each tree are its own.
-ORDERS = [[(t * MIN_DEPTH + i) % HASHES for i in range(DEPTH)] for t in range(TREES)]
+#: Least probability that a pair at the threshold becomes a candidate outside dense regions.
+RECALL = 0.999
+
+
+def least_depth(threshold: int) -> int:
+    """The largest depth, MIN_DEPTH at most, at which the forest still has RECALL."""
+    found = (d for d in range(MIN_DEPTH, 1, -1) if 1 - (1 - (threshold / 100) ** d) ** TREES >= RECALL)
+    return next(found, 1)
+
+
+def orders(depth: int) -> list[list[int]]:
+    """Tree t reads the hashes from t * depth on: the first ``depth`` of each tree are its own."""
+    return [[(t * depth + i) % HASHES for i in range(DEPTH)] for t in range(TREES)]
 
 
 def shingles(text: str | None, memo: WordHashes, words: int = WORDS) -> np.ndarray:
@@ -106,6 +117,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def forest_edges(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Candidate pairs (a, b) of class ids: neighbours in one of the sorted orders."""
+    of_tree = orders(least_depth(threshold))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +125,7 @@ def forest_edges(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), ">u2").reshape(n, HASHES)
             low = np.ascontiguousarray(sketch.astype(np.uint8))
             flat = pa.array([x.tobytes() for x in low], pa.binary())
-            for t, order in enumerate(ORDERS):
+            for t, order in enumerate(of_tree):
                 keys = np.ascontiguousarray(sketch[:, order])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array([x.tobytes() for x in keys], pa.binary()), batch.column("rep"), flat], ["tree", "key", "rep", "low"])
 
@@ -145,8 +157,9 @@ def neighbours(tree: np.ndarray, key: np.ndarray, low: np.ndarray, rep: np.ndarr
         return
     equal = (key[1:] == key[:-1]) & (tree[1:] == tree[:-1])[:, None]
     prefix = np.where(equal.all(1), DEPTH, equal.argmin(1))  # of each row with the one before
-    depth = np.full(n - 1, MIN_DEPTH)
-    for d in range(MIN_DEPTH, DEPTH):  # a region that is too large at depth d asks for d + 1
+    least = least_depth(threshold)
+    depth = np.full(n - 1, least)
+    for d in range(least, DEPTH):  # a region that is too large at depth d asks for d + 1
         region = np.concatenate([[0], np.cumsum(prefix < d)])
         dense = np.bincount(region)[region] > REGION
         depth = np.where(dense[1:] & dense[:-1] & (prefix >= d), d + 1, depth)
@@ -270,9 +283,9 @@ def near_dedup(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The documents that near-dedup keeps, one of each component, with all their columns."""
-    kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
+    kept = near_dedup(docs, threshold=threshold).filter("kept").select(F.col("doc_id").alias("_kept"))
     return docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi").select(docs.columns)
 
 

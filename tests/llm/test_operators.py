@@ -160,6 +160,22 @@ def test_near_dedup_against_all_pairs(spark, docs, none):
     assert near_dedup.keep_first(docs).columns == docs.columns
 
 
+def test_pipeline_links_near_copies_from_80(spark):
+    import corpus_pipeline
+
+    r, texts = random.Random(14), []
+    for i in range(60):
+        w = [f"w{i}x{r.randrange(10**6)}" for _ in range(120)]
+        texts.append(" ".join(w))
+        w[30], w[80] = "edit", "edit"  # 106 of 126 shingles are shared, 0.841
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert near_dedup.keep_first(df).count() == 120
+    assert sorted(x.doc_id for x in corpus_pipeline.near_copies(spark, df, "").collect()) == list(range(0, 120, 2))
+    for t in (80, 85):
+        assert 1 - (1 - (t / 100) ** near_dedup.least_depth(t)) ** near_dedup.TREES >= near_dedup.RECALL
+
+
 def test_secret_forest_on_held_out_findings(spark):
     x, y = secrets_scan.featured(spark, secrets_scan.labelled_findings(400, seed=7))
     forest = secrets_scan.forest_of(spark)
