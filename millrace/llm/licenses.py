@@ -1,11 +1,13 @@
 """License scan: a trained paragraph classifier confirmed by templates.
 
-A paragraph is a line with a word. Its features are the word n-grams (1 to 3) of
+A paragraph is a line with a word; where a line holds no notice, it is read
+together with the adjacent lines that a wrapped notice could go on in. Its features are the word n-grams (1 to 3) of
 its lower-cased text that the training texts taught; a sparse logistic
 regression per family gives scores, calibrated on held-out training paragraphs
 (Platt), and the class "unknown" takes what no family is sure of. A prediction
 stands when the paragraph also holds a share CONFIRM of the word bigrams of a
-template of its family. Such a paragraph holds a word of the template's rarer
+template of its family, two at least where the template has them. A notice of
+several lines counts at its first. Such a paragraph holds a word of the template's rarer
 bigrams; texts without any of those words stay "unknown" unscored.
 
 Trained on the driver from TEMPLATES (varied with a seed) and BACKGROUND_ROWS
@@ -63,7 +65,7 @@ TEMPLATES = {
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission.", "Copyright. All rights reserved. Proprietary and confidential."],
+    "proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission.", "Copyright. All rights reserved. Proprietary and confidential."],
 }
 FAMILIES = list(TEMPLATES)
 
@@ -76,17 +78,23 @@ def words_of(line: str) -> list[str]:
     return WORD.findall(line.lower())
 
 
+def needed(n: int) -> int:
+    """Bigrams of a template of ``n`` that confirm a paragraph."""
+    return max(int(np.ceil(CONFIRM * n)), min(n, 2))
+
+
 class Classifier:
     def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, bias: np.ndarray, scale: np.ndarray, shift: np.ndarray, common: dict[str, int]) -> None:
         self.vocabulary, self.weights, self.bias, self.scale, self.shift = vocabulary, weights, bias, scale, shift
         self.templates = {f: [set(zip(w, w[1:])) for w in map(words_of, t)] for f, t in TEMPLATES.items()}
+        self.reach = max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
         self.cues = sorted({c for ts in self.templates.values() for t in ts for c in self._needed(t, common)})
 
     @staticmethod
     def _needed(template: set[tuple[str, str]], common: dict[str, int]) -> set[str]:
         """Words one of which every paragraph with CONFIRM of the template's bigrams holds: the rarest of each bigram but the commonest ones that it could do with."""
         rare = sorted((min(pair, key=lambda w: (common.get(w, 0), -len(w))) for pair in template), key=lambda w: -common.get(w, 0))
-        return set(rare[max(0, int(np.ceil(CONFIRM * len(rare))) - 1) :])
+        return set(rare[max(0, needed(len(rare)) - 1) :])
 
     def may_hold(self, lowered: str) -> bool:
         return any(c in lowered for c in self.cues)
@@ -101,12 +109,49 @@ class Classifier:
         p = 1 / (1 + np.exp(-(self.scale * raw + self.shift)))
         best = int(p.argmax())
         pairs = set(zip(words, words[1:]))
-        match = max(len(t & pairs) / max(1, len(t)) for t in self.templates[FAMILIES[best]])
-        if p[best] < SURE or match < CONFIRM:
+        held = [(len(t & pairs), len(t)) for t in self.templates[FAMILIES[best]]]
+        match = max(k / max(1, n) for k, n in held)
+        if p[best] < SURE or not any(k >= needed(n) for k, n in held):
             return "unknown", float(p[best]), match
         return FAMILIES[best], float(p[best]), match
 
 
+def notices(text: str, classifier: Classifier) -> tuple[int, list[tuple[int, str, float, float]]]:
+    """The number of lines with a word, and (line, family, probability, resemblance) of each notice; lines count from 0 without blank ones."""
+    lines, run_of, run = [], [], 0
+    for x in text.split("\n"):
+        if x and not x.isspace():
+            lines.append(x)
+            run_of.append(run)
+        else:
+            run += 1
+    if not classifier.may_hold(text.lower()):
+        return len(lines), []
+    cued = [classifier.may_hold(x.lower()) for x in lines]
+    alone = [classifier.classify(x) if c else ("unknown", 0.0, 0.0) for x, c in zip(lines, cued)]
+    joined = lambda i, j: classifier.classify("\n".join(lines[i : j + 1]))
+    found = [(i, *a) for i, a in enumerate(alone) if a[0] != "unknown"]
+    free = [a[0] == "unknown" for a in alone]
+    # a wrapped notice ends within ``reach`` words after the line it starts in
+    for i in range(len(lines)):
+        j, words, cue = i, 0, cued[i]
+        while free[i] and words < classifier.reach and j + 1 < len(lines) and free[j + 1] and run_of[j + 1] == run_of[i]:
+            j += 1
+            words += len(words_of(lines[j]))
+            cue |= cued[j]
+            if not cue or (got := joined(i, j))[0] == "unknown":
+                continue
+            first = i
+            while first + 1 < j and (shorter := joined(first + 1, j))[0] != "unknown":
+                first, got = first + 1, shorter
+            while j + 1 < len(lines) and free[j + 1] and run_of[j + 1] == run_of[i] and (longer := joined(first, j + 1))[0] != "unknown" and longer[2] > got[2]:
+                j, got = j + 1, longer
+            free[first : j + 1] = [False] * (j + 1 - first)
+            found.append((first, *got))
+            break
+    return len(lines), sorted(found)
+
+
 def training_texts(background: list[str], seed: int = SEED) -> list[tuple[str, int]]:
     """(paragraph, family index or -1): templates varied by dropped and added words, and other text."""
     r = random.Random(seed)
@@ -182,15 +227,10 @@ def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
             rows = []
             for text in batch.column("text"):
                 text = text.as_py() or ""
-                lines = [x for x in text.split("\n") if x and not x.isspace()]
-                found = []
-                if classifier.may_hold(text.lower()):
-                    for i, line in enumerate(lines):
-                        if classifier.may_hold(line.lower()) and (got := classifier.classify(line))[0] != "unknown":
-                            found.append((i, *got))
+                n_lines, found = notices(text, classifier)
                 names = [f for _, f, _, _ in found]
                 top = min(set(names), key=lambda f: (-names.count(f), f)) if names else "unknown"
-                rows.append((len(lines), len(found), ",".join(f"{i}:{f}" for i, f, _, _ in found), top, max((round(p, 4) for _, _, p, _ in found), default=0.0)))
+                rows.append((n_lines, len(found), ",".join(f"{i}:{f}" for i, f, _, _ in found), top, max((round(p, 4) for _, _, p, _ in found), default=0.0)))
             n, k, families, top, p = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(families, pa.string()), pa.array(top, pa.string()), pa.array(p, pa.float64())], ["doc_id", "n_paragraphs", "n_licensed", "families", "top", "confidence"])
 

@@ -249,6 +249,18 @@ def test_license_scan(docs, none):
     assert licenses.scan(none, model).count() == 0
 
 
+def test_license_notices_short_or_wrapped():
+    import textwrap
+
+    model = licenses.train([])
+    assert model.classify("All rights reserved.")[0] == "proprietary" and model.classify("all of them have rights of the people")[0] == "unknown"
+    grant = textwrap.wrap(licenses.TEMPLATES["mit"][1], 60)
+    assert model.classify(grant[0])[0] == "unknown"
+    text = "a title\n\n" + "\n".join(f"# {x}" for x in grant) + "\n\nplain words\nAll rights reserved.\nmore plain words"
+    n, found = licenses.notices(text, model)
+    assert n == len(grant) + 4 and [f[:2] for f in found] == [(1, "mit"), (len(grant) + 2, "proprietary")]
+
+
 def test_lm_scores(docs, none):
     got = table(lm.score(docs, vocabulary=8))
     counts, words = Counter(), {}
