@@ -2,30 +2,37 @@
 
 The merges of a vocabulary are compiled in rank order. Each merge (u, v) -> w is
 a gadget: it adds an arc labelled w and bars the arc v after an arc u wherever
-the gadget would have fired there first. States are the arcs last taken; whether
-an arc may follow a state depends only on the two labels: on the gadgets between
-the right edge of the first and the left edge of the second. So the automaton is
-deterministic, and its transition table is filled from the gadgets as states are
-reached (the full table of a 49k vocabulary has 2.4e9 cells, nearly all unused).
-
-A pre-split word is encoded by table transitions alone, with no merge loop; ids
-are decoded by emitting the labels of their arcs. Words are memoized per worker
-in a table of bounded size. Texts are normalized and split as the vocabulary's
-file says: NFC, white space, lower case; contractions, letters, single digits,
-other runs. Special tokens inside a text become their ids.
+the gadget would have fired there first. Whether an arc may follow another
+depends on the gadgets between the right edge of the first and the left edge of
+the second alone. The gadgets are then compiled to a deterministic automaton over
+the bytes of a word (``TokenAutomaton``): one transition a byte, no search and no
+merge loop; the arcs of the path are read back from the states it went through.
+
+The table is compiled on the driver for every label of the vocabulary and sent
+to the workers. The full table of a 49k vocabulary has over 10**7 cells, nearly
+all unused, so a word that leaves the compiled part adds the cells it needs.
+
+The distinct fragments of a chunk of texts take their transitions together, a
+numpy step for each byte position; ids are decoded by emitting the labels of
+their arcs. Texts are normalized and split as the vocabulary's file says: NFC,
+white space, lower case; contractions, letters, single digits, other runs.
+Special tokens inside a text become their ids.
 
 Defined results: a null or empty text has no ids; texts of any length are read
-whole; rows that repeat are encoded each; further columns are ignored.
+whole; rows that repeat are encoded each; further columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import struct
+import pickle
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +43,10 @@ END = "</w>"
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 WHITE = regex.compile(r"\p{White_Space}+")
 CONTROLS = regex.compile(r"[\x1c-\x1f]")
-#: Words and fragments memoized per worker, and the longest that is.
-MEMO_WORDS, MEMO_FRAGMENTS, MEMO_CHARS = 600_000, 1_000_000, 64
+#: States beyond the compiled ones that a worker keeps, characters of text taken at once.
+TABLE, CHUNK_CHARS = 120_000, 1_000_000
+#: Longer words are walked one by one: a numpy step a byte pays for many words only.
+LONG = 128
 
 
 def byte_letters() -> list[str]:
@@ -47,99 +56,328 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
 
 
+class Cells:
+    """Cells of a transition table, (state, byte) to a number: an open-addressing hash that numpy reads many at once."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.bits, self.n = bits, 0
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of ``keys``; -1 where there is none."""
+        slots = self._slots(keys)
+        found = self.keys[slots]
+        out = np.where(found == keys, self.values[slots], np.int32(-1))
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        mask = len(self.keys) - 1
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & mask
+            found = self.keys[slots[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.values[slots[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def put(self, key: int, value: int) -> None:
+        if 2 * self.n >= len(self.keys):
+            self.load(*self.items(), self.bits + 1)
+        mask = len(self.keys) - 1
+        slot = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while self.keys[slot] >= 0:
+            slot = (slot + 1) & mask
+        self.keys[slot], self.values[slot] = key, value
+        self.n += 1
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        at = self.keys >= 0
+        return self.keys[at], self.values[at]
+
+    def load(self, keys: np.ndarray, values: np.ndarray, bits: int) -> None:
+        """Holds these cells alone, in a table of 2**bits or larger."""
+        while 2 * len(keys) > 1 << bits:
+            bits += 1
+        self.__init__(bits)
+        mask = len(self.keys) - 1
+        left, slots = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = left[self.keys[slots[left]] < 0]
+            self.keys[slots[free]] = keys[free]  # of several for one slot the last stays
+            won = free[self.keys[slots[free]] == keys[free]]
+            self.values[slots[won]] = values[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            slots[left] = (slots[left] + 1) & mask
+        self.n = len(keys)
+
+
 class TokenAutomaton:
-    """States and arcs are token ids; ``step`` is the transition table."""
+    """The merges compiled to a deterministic automaton over bytes, with the arcs of the token path as output.
+
+    ``step`` maps (state, byte) to the next state, ``last`` maps (state, byte) to
+    the arc that ends a word with that byte, ``arc_of`` maps a state to the arc
+    that ends there if the word goes on. A state stands for the places behind it
+    from which an arc is still under way: (node of the label trie, arc that ended
+    at that place). One path alone spells a word, so one arc alone ends at each
+    place, whatever follows. The tables hold the cells of all labels; a word that
+    leaves them fills further cells, TABLE states at most beyond the compiled
+    ones, and then the table falls back to those.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         spec = json.loads(vocabulary)
-        self.arcs: dict[str, int] = spec["model"]["vocab"]
-        self.labels = {i: s for s, i in self.arcs.items()}
+        arcs: dict[str, int] = spec["model"]["vocab"]
+        self.labels = {i: s for s, i in arcs.items()}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels |= {i: s for s, i in self.specials.items()}
-        self.letters = byte_letters()
+        self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.gadgets: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}
         for rank, (u, v) in enumerate(spec["model"]["merges"], 1):
-            self._add_gadget(rank, u, v)
-        self.step: dict[tuple[int, int], bool] = {}
-        self.whole = {s: i for s, i in self.arcs.items() if self._whole(i)}
-        self.prefixes = {p[:i]: -1 for p in (s.removesuffix(END) for s in self.arcs) for i in range(1, len(p) + 1)}
-        self.prefixes |= {s: i for s, i in self.whole.items() if not s.endswith(END)}  # label, or the start of one, to its arc or -1
-        self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-
-    def _add_gadget(self, rank: int, u: str, v: str) -> None:
-        pair, w = (self.arcs[u], self.arcs[v]), self.arcs[u + v]
-        self.gadgets.setdefault(pair, rank)
-        if w not in self.parts:
-            self.parts[w], self.rank[w] = pair, rank
+            pair, w = (arcs[u], arcs[v]), arcs[u + v]
+            self.gadgets.setdefault(pair, rank)
+            if w not in self.parts:
+                self.parts[w], self.rank[w] = pair, rank
+        self.may: dict[tuple[int, int], bool] = {}
+        self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        bytes_of = {c: b for b, c in enumerate(byte_letters())}
+        spelled = {i: bytes(bytes_of[c] for c in s.removesuffix(END)) for s, i in arcs.items() if i not in self.specials.values()}
+        self._plant(spelled, {i for s, i in arcs.items() if s.endswith(END)})
+        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.number = {self.states[0]: 0}
+        self.arc_of = np.full(1 << 16, -1, np.int32)
+        self.step, self.last = Cells(), Cells()
+        labels = [w for w in spelled.values() if 0 < len(w) <= LONG]
+        self._walk(np.frombuffer(b"".join(labels), np.uint8), np.array([len(w) for w in labels]))
+        self.base = len(self.states)
+        self.compiled = (*self.step.items(), *self.last.items())
+        self.may, self.edges = {}, {}
+
+    def _plant(self, spelled: dict[int, bytes], closing: set[int]) -> None:
+        """The trie of the labels that a path can hold: children, arcs and closing arcs of each node."""
+        self.children: list[dict[int, int] | None] = [{}]
+        self.closing: list[dict[int, int] | None] = [None]
+        self.ends: list[int] = [-1]
+        self.sizes = np.zeros(max(spelled) + 1, np.int64)
+        for arc, word in spelled.items():
+            if not word or not self._whole(arc):
+                continue
+            node = 0
+            for b in word[:-1] if arc in closing else word:
+                if self.children[node] is None:
+                    self.children[node] = {}
+                below = self.children[node].get(b)
+                if below is None:
+                    below = self.children[node][b] = len(self.ends)
+                    self.children.append(None)
+                    self.closing.append(None)
+                    self.ends.append(-1)
+                node = below
+            self.sizes[arc] = len(word)
+            if arc in closing:
+                if self.closing[node] is None:
+                    self.closing[node] = {}
+                self.closing[node][word[-1]] = arc
+            else:
+                self.ends[node] = arc
+
+    def _shrink(self, kept: np.ndarray) -> np.ndarray:
+        """Back to the compiled states and those ``kept``; their numbers from now on."""
+        held = [(self.states[s], self.arc_of[s]) for s in kept.tolist()]
+        for state in self.states[self.base :]:
+            del self.number[state]
+        del self.states[self.base :]
+        self.step.load(*self.compiled[:2], 16)
+        self.last.load(*self.compiled[2:], 16)
+        self.may, self.edges = {}, {}
+        return np.array([self._state(s, arc) for s, arc in held], np.int64)
+
+    def _state(self, pairs: tuple[tuple[int, int], ...], arc: int) -> int:
+        number = self.number.get(pairs)
+        if number is None:
+            number = self.number[pairs] = len(self.states)
+            self.states.append(pairs)
+            if number == len(self.arc_of):
+                self.arc_of = np.concatenate([self.arc_of, np.full(number, -1, np.int32)])
+            self.arc_of[number] = arc
+        return number
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Symbols at one edge while ``token`` is built, each with the rank that consumes it."""
-        out, until = [], float("inf")
+        known = self.edges.get((token, side))
+        if known is not None:
+            return known
+        out, until, at = [], float("inf"), token
         while True:
-            out.append((token, until))
-            if token not in self.parts:
+            out.append((at, until))
+            if at not in self.parts:
+                self.edges[token, side] = out
                 return out
-            until, token = self.rank[token], self.parts[token][side]
+            until, at = self.rank[at], self.parts[at][side]
 
-    def may_follow(self, state: int, arc: int) -> bool:
-        """A transition: no gadget fires across the border before an inner one consumes its symbols.
+    def may_follow(self, before: int, arc: int) -> bool:
+        """Whether ``arc`` may follow ``before``: no gadget fires across the border before an inner one consumes its symbols.
 
         On equal ranks the left pair goes first, so the right token's own merge loses.
         """
-        known = self.step.get((state, arc))
+        known = self.may.get((before, arc))
         if known is None:
             fires = self.gadgets.get
-            known = not any((r := fires((x, y))) is not None and r < x_until and r <= y_until for x, x_until in self._edge(state, 1) for y, y_until in self._edge(arc, 0))
-            if len(self.step) > 2_000_000:
-                self.step.clear()
-            self.step[state, arc] = known
+            right = self._edge(arc, 0)
+            known = self.may[before, arc] = not any((r := fires((x, y))) is not None and r < x_until and r <= y_until for x, x_until in self._edge(before, 1) for y, y_until in right)
         return known
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-split word: transitions from the start state, longest arc first.
-
-        One path alone reads the whole word; a place from which none goes on is left for good.
-        """
-        symbols = word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode("utf-8", "surrogatepass")])
-        n = len(symbols)
-        path: list[tuple[int, list[tuple[int, int]]]] = []  # (start, untried arcs with their ends)
-        out: list[int] = []
-        at, left = 0, self._arcs_from(symbols, 0, n)
-        dead: set[tuple[int, int]] = set()
-        follows = self.step.get
-        while at < n:
-            state = out[-1] if out else -1
-            while left:
-                arc, end = left.pop()
-                if (state < 0 or follows((state, arc)) or ((state, arc) not in self.step and self.may_follow(state, arc))) and not (dead and (end, arc) in dead):
-                    path.append((at, left))
-                    out.append(arc)
-                    at, left = end, self._arcs_from(symbols, end, n)
-                    break
-            else:
-                if not out:
-                    raise ValueError(f"no path for {word!r}")
-                dead.add((at, out.pop()))
-                at, left = path.pop()
-        return out
-
-    def _arcs_from(self, symbols: str, start: int, n: int) -> list[tuple[int, int]]:
-        """(arc, end) of every label that begins at ``start``, shortest first."""
-        found = []
-        look = self.prefixes.get
-        for end in range(start + 1, n):
-            arc = look(symbols[start:end])
-            if arc is None:
-                return found
-            if arc >= 0:
-                found.append((arc, end))
-        arc = self.whole.get(symbols[start:n] + END)
-        if arc is not None:
-            found.append((arc, n))
+    def _fill_step(self, state: int, byte: int) -> int:
+        """Fills one cell of ``step``: every arc under way reads the byte; the one that may end here starts the next."""
+        ended, under_way = -1, []
+        for node, before in self.states[state]:
+            below = self.children[node]
+            node = below.get(byte) if below else None
+            if node is None:
+                continue
+            arc = self.ends[node]
+            if arc >= 0 and ended < 0 and (before < 0 or self.may_follow(before, arc)):
+                ended = arc
+            if self.children[node] or self.closing[node]:
+                under_way.append((node, before))
+        under_way.append((0, ended))
+        number = self._state(tuple(under_way), ended)
+        self.step.put(state << 8 | byte, number)
+        return number
+
+    def _fill_last(self, state: int, byte: int) -> int:
+        """Fills one cell of ``last``."""
+        for node, before in self.states[state]:
+            arc = (self.closing[node] or {}).get(byte)
+            if arc is not None and (before < 0 or self.may_follow(before, arc)):
+                self.last.put(state << 8 | byte, arc)
+                return arc
+        raise ValueError(f"no arc ends a word with byte {byte}")
+
+    @staticmethod
+    def _filled(cells: Cells, keys: np.ndarray, fill) -> np.ndarray:
+        """The cells of ``keys``; those that are empty are filled first."""
+        found = cells.get(keys)
+        if found.min() < 0:
+            empty = np.flatnonzero(found < 0)
+            new, at = np.unique(keys[empty], return_inverse=True)
+            found[empty] = np.array([fill(k >> 8, k & 255) for k in new.tolist()], np.int32)[at]
         return found
 
+    def _walk(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words whose bytes stand one after the other in ``data``, and how many ids each has. Words are not empty."""
+        data = data.astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        order = np.argsort(-lengths, kind="stable")
+        begin, size = starts[order], lengths[order]
+        arcs = np.empty(len(data), np.int32)  # the arc that ends at each place if the word goes on
+        state = np.zeros(len(lengths), np.int64)
+        ascending = size[::-1]
+        for i in range(int(size[0]) - 1 if len(size) else 0):
+            n = len(size) - int(np.searchsorted(ascending, i + 1, side="right"))  # words that go on after this byte
+            at = begin[:n] + i
+            state[:n] = self._filled(self.step, state[:n] << 8 | data[at], self._fill_step)
+            arcs[at] = self.arc_of[state[:n]]
+            if len(self.states) > getattr(self, "base", 1 << 60) + TABLE:
+                kept, where = np.unique(state, return_inverse=True)
+                state = self._shrink(kept)[where]
+        out = np.full(len(data), -1, np.int32)
+        if len(lengths):
+            end = begin + size - 1
+            arc = self._filled(self.last, state << 8 | data[end], self._fill_last)
+            while len(end):
+                out[end] = arc
+                end = end - self.sizes[arc]
+                on = end >= begin
+                end, begin = end[on], begin[on]
+                arc = arcs[end]
+        taken = out >= 0
+        total = np.concatenate([[0], np.cumsum(taken)])
+        return out[taken].astype(np.uint32), total[starts + lengths] - total[starts]
+
+    def _walk_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word, byte by byte."""
+        state, near, arcs = 0, {}, []
+        for b in word[:-1]:
+            key = state << 8 | b
+            to = near.get(key)
+            if to is None:
+                to = near[key] = int(self._filled(self.step, np.array([key]), self._fill_step)[0])
+                if len(self.states) > self.base + TABLE:
+                    to, near = int(self._shrink(np.array([to]))[0]), {}
+            state = to
+            arcs.append(self.arc_of[state])
+        arc = int(self._filled(self.last, np.array([state << 8 | word[-1]]), self._fill_last)[0])
+        out, at = [arc], len(word) - int(self.sizes[arc])
+        while at:
+            out.append(int(arcs[at - 1]))
+            at -= int(self.sizes[out[-1]])
+        return np.array(out[::-1], np.uint32)
+
+    def encode_fragments(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all normalized fragments, one after the other, and how many each has."""
+        if not fragments:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        n_words = np.ones(len(fragments), np.int64)
+        several = {i: WORD.findall(f) for i, f in enumerate(fragments) if not f.isalpha()}
+        if several:
+            n_words[list(several)] = [max(1, len(w)) for w in several.values()]
+            fragments = ["\n".join(several[i]) if i in several else f for i, f in enumerate(fragments)]
+        data = np.frombuffer("\n".join(fragments).encode("utf-8", "surrogatepass"), np.uint8)  # no word holds a line end
+        ends = np.append(np.flatnonzero(data == 10), len(data))
+        lengths = np.diff(ends, prepend=-1) - 1
+        ids, counts = self._ids(data[data != 10], lengths)
+        total = np.concatenate([[0], np.cumsum(counts)])
+        return ids, np.diff(total[np.concatenate([[0], np.cumsum(n_words)])])
+
+    def _ids(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_walk``, for words of any length; an empty one has no ids."""
+        usual = (lengths > 0) & (lengths <= LONG)
+        if usual.all():
+            return self._walk(data, lengths)
+        ids, counts = self._walk(data[np.repeat(usual, lengths)], lengths[usual])
+        all_counts = np.zeros(len(lengths), np.int64)
+        all_counts[usual] = counts
+        starts = np.cumsum(lengths) - lengths
+        long_ = {i: self._walk_long(data[starts[i] : starts[i] + lengths[i]].tobytes()) for i in np.flatnonzero(lengths > LONG).tolist()}
+        if long_:
+            at = np.cumsum(all_counts)  # no long word has a count yet
+            places = np.repeat([at[i] for i in long_], [len(x) for x in long_.values()])
+            ids = np.insert(ids, places, np.concatenate(list(long_.values())))
+            for i, x in long_.items():
+                all_counts[i] = len(x)
+        return ids, all_counts
+
+    def ids(self, text: str | None) -> list[int]:
+        return [i for ids, _ in self.encode([text]) for i in ids.tolist()]
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of the texts, one after the other; number of ids of each) for each chunk of the texts."""
+        for part in chunks(texts):
+            held = self.fragments_of(part)
+            ids, counts = self.encode_fragments(held.fragments)
+            counts, ids = held.with_specials(counts, ids)
+            n = counts[held.index]
+            first = (np.cumsum(counts) - counts)[held.index]
+            total = np.concatenate([[0], np.cumsum(n)])
+            out = ids[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
+            yield out, np.diff(total[held.bounds])
+
+    def fragments_of(self, texts: list[str | None]) -> Fragments:
+        """The distinct fragments of the texts, and the place of each occurrence among them."""
+        flat: list = []
+        bounds = [0]
+        for text in texts:
+            for special, found in self.pieces(text):
+                flat += found if special is None else (special,)
+            bounds.append(len(flat))
+        place = Places()
+        index = np.array(list(map(place.__getitem__, flat)), np.int64)
+        return Fragments(list(place), index, np.array(bounds))
+
     def _whole(self, arc: int) -> bool:
         """Whether the symbols of ``arc`` end in this one token: nothing fires between its halves before it does."""
         if arc not in self.parts:
@@ -151,21 +389,10 @@ class TokenAutomaton:
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.labels[i] for i in ids)
 
-    def words(self, fragment: str) -> list[str]:
-        """Normalized pre-split words of a text without special tokens."""
-        if is_plain(fragment):
-            low = fragment.lower()
-            if low.isalpha() and "'" not in low:
-                return [low]
-            if low[:-1].isalpha() and low[-1] in ".,;:!?":
-                return [low[:-1], low[-1]]
-            return WORD.findall(low)
-        return WORD.findall("".join([c.lower() for c in unicodedata.normalize("NFC", fragment)]))
-
     def pieces(self, text: str | None) -> Iterator[tuple[int | None, list[str]]]:
         """(id, []) for a special token; (None, fragments) for the text between them.
 
-        A fragment is a run without white space: words never cross one.
+        A fragment is a normalized run without white space: words never cross one.
         """
         if not text:
             return
@@ -174,81 +401,77 @@ class TokenAutomaton:
             if part in self.specials:
                 yield self.specials[part], []
             elif part:
-                if is_plain(part):
-                    part = part.lower()
+                part = normalized(part)
                 odd = CONTROLS.search(part)  # str.split() takes these as white space, the vocabulary doesn't
                 yield None, (WHITE.sub(" ", part).split(" ") if odd else part.split())
 
 
-def is_plain(text: str) -> bool:
-    """Whether lower-casing letter by letter is all that normalizing does: Latin-1 text, which NFC leaves as it is."""
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+def normalized(text: str) -> str:
+    """NFC, then lower case letter by letter: unlike ``str.lower`` that makes a sigma at a word's end an ordinary one."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+        if "\u03a3" in text:
+            return "".join([c.lower() for c in text])
+    return text.lower()
 
 
-class Memo(dict):
-    """Keeps ``make(key)`` of the keys used lately, ``limit`` at most; long keys are made anew each time."""
+class Places(dict):
+    """Numbers keys in the order they first come."""
 
-    def __init__(self, make, limit: int = MEMO_WORDS) -> None:
-        super().__init__()
-        self.make, self.half, self.older = make, limit // 2, {}
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        return n
 
-    def __missing__(self, key: str):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= MEMO_CHARS:
-            if len(self) >= self.half:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
 
+class Fragments:
+    """Distinct fragments of a chunk (a special token is a fragment of its id), their occurrences, the bounds of the texts."""
 
-_MEMOS: dict[tuple[int, str], Memo] = {}
+    def __init__(self, keys: list, index: np.ndarray, bounds: np.ndarray) -> None:
+        self.special = {i: k for i, k in enumerate(keys) if not isinstance(k, str)}
+        self.fragments = [k if isinstance(k, str) else "" for k in keys] if self.special else keys
+        self.index, self.bounds = index, bounds
 
+    def with_specials(self, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.special:
+            return counts, ids
+        at = np.array(list(self.special))
+        places = (np.cumsum(counts) - counts)[at]
+        counts = counts.copy()
+        counts[at] = 1
+        return counts, np.insert(ids, places, np.array(list(self.special.values()), np.uint32))
 
-def fragment_memo(automaton: TokenAutomaton, name: str, form) -> Memo:
-    """Fragment to a form of its ids, by way of a memo of its words; kept by the worker for its next tasks."""
-    key = (id(automaton), name)
-    if key not in _MEMOS:
-        words = Memo(lambda word: struct.pack(f"<{len(ids := automaton.encode_word(word))}I", *ids))
 
+def chunks(texts: Iterable[str | None], most: int | None = None) -> Iterator[list[str | None]]:
+    """Runs of texts of about CHUNK_CHARS characters; a longer text is a run of its own."""
+    part, n = [], 0
+    for text in texts:
+        part.append(text)
+        n += len(text or "") + 100
+        if n >= (most or CHUNK_CHARS):
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
 
-        def ids(fragment: str):
-            found = automaton.words(fragment)
-            return form(words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found]))
 
-        _MEMOS[key] = Memo(ids, MEMO_FRAGMENTS)
-    return _MEMOS[key]
+_COMPILED: dict[bytes, TokenAutomaton] = {}
 
 
-_COMPILED: dict[int, TokenAutomaton] = {}
+@lru_cache(maxsize=2)
+def compile_vocabulary(vocabulary: str) -> bytes:
+    """The automaton of a vocabulary file's text, compiled once on the driver, as workers get it."""
+    return pickle.dumps(TokenAutomaton(vocabulary), pickle.HIGHEST_PROTOCOL)
 
 
-def compiled(vocabulary: str) -> TokenAutomaton:
-    """The automaton, compiled once per Python worker."""
-    key = hash(vocabulary)
+def loaded(tables: bytes) -> TokenAutomaton:
+    """The compiled automaton, unpacked once per Python worker, which keeps it for its next tasks."""
+    key = hashlib.sha256(tables).digest()
     if key not in _COMPILED:
-        _COMPILED[key] = TokenAutomaton(vocabulary)
+        _COMPILED.clear()
+        _COMPILED[key] = pickle.loads(tables)
     return _COMPILED[key]
 
 
-def id_bytes(automaton: TokenAutomaton):
-    """A function from text to its ids as little-endian 32-bit integers."""
-    memo = fragment_memo(automaton, "bytes", lambda ids: ids)
-
-    def encode(text: str | None) -> bytes:
-        return b"".join(struct.pack("<I", special) if special is not None else b"".join(map(memo.__getitem__, f)) for special, f in automaton.pieces(text))
-
-    return encode
-
-
 def load_vocabulary(path: str | None = None) -> str:
     if path is None:
         import public_tokenizers
@@ -258,25 +481,29 @@ def load_vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-def _shown(automaton: TokenAutomaton, ids: tuple[int, ...]) -> tuple[str, str]:
-    return " ".join(map(str, ids)), automaton.decode(ids)
-
-
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
+    tables = compile_vocabulary(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = compiled(vocabulary)
-        memo = fragment_memo(a, "digest", lambda ids: _shown(a, struct.unpack(f"<{len(ids) // 4}I", ids)))
+        a = loaded(tables)
+        number, label = [str(i) for i in range(len(a.labels))], [a.labels[i] for i in range(len(a.labels))]
         for batch in batches:
             rows = []
-            for text in batch.column("text"):
-                found = []
-                for special, w in a.pieces(text.as_py()):
-                    found += [_shown(a, (special,))] if special is not None else map(memo.__getitem__, w)
-                ids = " ".join([x[0] for x in found])
-                shown = " ".join([x[1] for x in found])
-                rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()))
+            for texts in chunks(x.as_py() for x in batch.column("text")):
+                held = a.fragments_of(texts)
+                counts, ids = held.with_specials(*a.encode_fragments(held.fragments)[::-1])
+                ids, ends = ids.tolist(), np.cumsum(counts).tolist()
+                spans = list(zip([0, *ends], ends))
+                shown, texts_of = ([" ".join([names[i] for i in ids[x:y]]) for x, y in spans] for names in (number, label))
+                index = held.index if counts.all() else held.index[counts[held.index] > 0]
+                bounds = held.bounds if counts.all() else np.concatenate([[0], np.cumsum(counts[held.index] > 0)])[held.bounds]
+                n = np.concatenate([[0], np.cumsum(counts[index])])[bounds]
+                index, bounds = index.tolist(), bounds.tolist()
+                for k, (x, y) in enumerate(zip(bounds, bounds[1:])):
+                    mine = index[x:y]
+                    sha = [hashlib.sha256(" ".join([names[i] for i in mine]).encode("utf-8", "surrogatepass")).hexdigest() for names in (shown, texts_of)]
+                    rows.append((int(n[k + 1] - n[k]), *sha))
             n, i, d = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

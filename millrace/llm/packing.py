@@ -1,13 +1,19 @@
 """Best-fit packing by bin-completion branch and bound.
 
 Pieces of at most ``size`` tokens have few distinct lengths, so the whole corpus
-is one histogram, whatever its number of documents. The solver works on that:
-best-fit decreasing gives the first incumbent; then branches take the largest
-length left, enumerate the undominated fillings around it, apply each as often
-as the counts allow, and are pruned when the waste so far exceeds what a better
-result may waste. The result is a list of runs (length, ranks, sequences,
-offset). Pieces learn their rank within their length from counts per task and
-length, and find their run by binary search, so nothing gathers in one task.
+is one histogram, whatever its number of documents. The solver works on that.
+Best-fit decreasing gives the first incumbent. A branch takes the largest length
+left and completes its sequence by an undominated filling (``fillings`` makes
+them all, lazily, large lengths first), applied once or more; it is pruned when
+the waste so far exceeds what a better result may waste, and every partial
+result that best-fit completes to fewer sequences is the new incumbent. Where
+the branches run out first, windows of the incumbent (its most wasteful
+sequences among others) are searched in the same way and put back when they
+need fewer sequences. The branch budget bounds time alone, never what is packed.
+
+The result is a list of runs (length, ranks, sequences, offset). Pieces learn
+their rank within their length from counts per task and length, and find their
+run by binary search, so nothing gathers in one task.
 
 Defined results: a null or empty text is a document of the closing id alone;
 only documents longer than ``size`` are cut, into pieces of ``size`` and a rest;
@@ -18,9 +24,12 @@ further columns are ignored; repeated rows are packed each.
 from __future__ import annotations
 
 import heapq
+import random
 import zlib
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -31,11 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._shared import materialize, read_table
-from .bpe import compiled, id_bytes, load_vocabulary
+from .bpe import compile_vocabulary, load_vocabulary, loaded
 
 SIZE, CLOSE = 2048, 0
-#: Search effort (branches) and fillings tried per branch; they bound time, not what is packed.
-NODES, FILLINGS, DEPTH, COMPLETE = 3000, 6, 4, 256
+#: Steps of the search for the whole histogram and for each window of it, sequences of a window, windows tried.
+STEPS, WINDOW_STEPS, WINDOW, WINDOWS = 40_000, 6_000, 24, 60
+SEED = 4
 
 
 class Pattern(NamedTuple):
@@ -93,51 +103,55 @@ def bins_of(patterns: list[Pattern]) -> int:
     return sum(p.count for p in patterns)
 
 
-def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether every length of ``b`` can be packed into the lengths of ``a`` as bins."""
-    if not b:
-        return True
-    if sum(b) > sum(a):
-        return False
-    for i, room in enumerate(a):
-        if room >= b[0] and (i == 0 or room != a[i - 1]) and dominates(tuple(sorted((*a[:i], *a[i + 1 :], room - b[0]), reverse=True)), b[1:]):
-            return True
-    return False
-
-
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = FILLINGS, depth: int = DEPTH) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``: little waste first, then few and large lengths."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-
-    def grow(taken: tuple[int, ...], room: int, at: int) -> None:
-        if len(found) >= 8 * most:
-            return
-        fit = next((i for i in range(at, len(lengths)) if lengths[i] <= room), None)
-        if fit is None or len(taken) >= depth:
-            found.append((room, taken))
-            return
-        tried = 0
-        for i in range(fit, len(lengths)):
-            x = lengths[i]
-            if counts[x] - taken.count(x) > 0:
-                grow((*taken, x), room - x, i)
-                tried += 1
-                if tried >= 3:
-                    break
-        if not tried:
-            found.append((room, taken))
-        exact = counts.get(room, 0) - taken.count(room)
-        if exact > 0 and room not in taken:
-            found.append((0, tuple(sorted((*taken, room), reverse=True))))
-
-    grow((), room, 0)
-    kept: list[tuple[int, tuple[int, ...]]] = []
-    for waste, f in sorted(set(found), key=lambda x: (x[0], len(x[1]), x[1])):
-        if not any(dominates(k, f) for _, k in kept):
-            kept.append((waste, f))
-        if len(kept) >= most:
-            break
-    return [f for _, f in kept]
+def smeared(bits: int, n: int) -> int:
+    """``bits`` shifted by 0 to ``n`` places, or-ed."""
+    done = 0
+    while done < n:
+        step = min(done + 1, n - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(taken: tuple[int, ...], waste: int, unused: int) -> bool:
+    """Whether an unused length could take the place of some of ``taken`` that it holds as a bin (Martello and Toth).
+
+    ``unused`` has a bit for each length of which one is left: it dominates a
+    subset of sum s if s <= length <= s + waste, but for an equal length alone.
+    """
+    one = many = 0
+    for x in taken:
+        many |= (one | many) << x
+        one |= 1 << x
+    return bool((smeared(many, waste) | (smeared(one, waste - 1) << 1 if waste else 0) | (smeared(1, waste) & ~1)) & unused)
+
+
+def fillings(counts: dict[int, int], room: int, budget: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, lengths) of every undominated way to fill ``room``, large lengths first, while the budget lasts."""
+    lengths = sorted((k for k, n in counts.items() if n and k <= room), reverse=True)
+    if counts.get(room):
+        yield 0, (room,)  # dominates all others
+        return
+    unused = 0
+    for x in lengths:
+        unused |= 1 << x
+    stack: list[tuple[tuple[int, ...], int, int]] = [((), room, 0)]  # taken, room left, first length that may be taken
+    while stack and budget[0] > 0:
+        budget[0] -= 1
+        taken, left, at = stack.pop()
+        at = bisect_left(lengths, -left, lo=at, key=lambda x: -x)  # the first that fits
+        if at == len(lengths):
+            now = unused
+            for x in set(taken):
+                if taken.count(x) == counts[x]:
+                    now &= ~(1 << x)
+            if not dominated(taken, left, now):
+                yield left, taken
+            continue
+        x = lengths[at]
+        stack.append((taken, left, at + 1))  # without a further x
+        if taken.count(x) < counts[x]:
+            stack.append(((*taken, x), left - x, at))
 
 
 def lower_bound(histogram: dict[int, int], size: int) -> int:
@@ -154,56 +168,99 @@ def lower_bound(histogram: dict[int, int], size: int) -> int:
     return best
 
 
-def solve(histogram: dict[int, int], size: int = SIZE, nodes: int = NODES) -> tuple[list[Pattern], int]:
-    """(patterns, lower bound): best-fit decreasing, improved by bin completion within ``nodes`` branches."""
-    histogram = {k: n for k, n in histogram.items() if n}
+def complete(histogram: dict[int, int], size: int, best: list[Pattern], bound: int, steps: int) -> list[Pattern]:
+    """The best result that bin completion finds within ``steps``: ``best`` or one with fewer sequences."""
     total = sum(k * n for k, n in histogram.items())
-    bound = lower_bound(histogram, size)
-    best = best_fit(histogram, size)
-    budget = [nodes]
-
-    left, done = dict(histogram), []  # changed in place on the way down, restored on the way up
+    left, budget = dict(histogram), [steps]
+    done: list[Pattern] = []
 
-    def branch(used: int, waste: int) -> None:
-        nonlocal best
-        if budget[0] <= 0 or bins_of(best) <= bound:
-            return
-        budget[0] -= 1
-        if len(done) % COMPLETE == 0 or len(done) < 4:
-            rest = best_fit(left, size)  # a best-fit completion is an incumbent too
-            if used + bins_of(rest) < bins_of(best):
-                best = done + rest
-        allowed = (bins_of(best) - 1) * size - total
-        lengths = sorted((k for k, n in left.items() if n), reverse=True)
-        if not lengths and used < bins_of(best):
-            best = list(done)
-        if not lengths or waste > allowed:
+    def options() -> Iterator[Pattern]:
+        """What may come next: each filling around the largest length, as often as it can be had and then fewer times."""
+        top = max((k for k, n in left.items() if n), default=0)
+        if not top:
             return
-        top = lengths[0]
         left[top] -= 1
-        options = fillings([x for x in lengths if left[x]], left, size - top)
+        found = fillings(dict(left), size - top, budget)
         left[top] += 1
-        del lengths
-        for f in options or [()]:
+        for _, f in found:
             items = (top, *f)
-            times = min(left[x] // items.count(x) for x in set(items))
-            lost = (size - sum(items)) * times
-            if waste + lost > allowed:
-                continue
-            for x in items:
-                left[x] -= times
-            done.append(Pattern(items, times))
-            branch(used + times, waste + lost)
-            done.pop()
-            for x in items:
-                left[x] += times
+            most = min(left[x] // items.count(x) for x in set(items))
+            times = most
+            while times:
+                yield Pattern(items, times)
+                times = times // 2 if times > 1 else 0
+
+    used = waste = 0
+    stack = [options()]
+    while stack and budget[0] > 0 and bins_of(best) > bound:
+        nxt = next(stack[-1], None)
+        if nxt is None:
+            stack.pop()
+            if done:
+                gone = done.pop()
+                used, waste = used - gone.count, waste - gone.count * (size - sum(gone.lengths))
+                for x in gone.lengths:
+                    left[x] += gone.count
+            continue
+        budget[0] -= 1
+        lost = nxt.count * (size - sum(nxt.lengths))
+        if waste + lost > (bins_of(best) - 1) * size - total:
+            continue  # a better result may not waste so much
+        for x in nxt.lengths:
+            left[x] -= nxt.count
+        done.append(nxt)
+        used, waste = used + nxt.count, waste + lost
+        rest = {k: n for k, n in left.items() if n}
+        if not rest or len(stack) < 8 or len(stack) % 64 == 0:
+            tail = best_fit(rest, size)  # best-fit completions are incumbents too
+            budget[0] -= len(rest) // 16
+            if used + bins_of(tail) < bins_of(best):
+                best = done + tail
+        stack.append(options())
+    return best
+
+
+def windows(best: list[Pattern], size: int, bound: int) -> list[Pattern]:
+    """``best`` with windows of it searched anew: its most wasteful sequences, and others by chance."""
+    rng = random.Random(SEED)
+    for k in range(WINDOWS):
+        if bins_of(best) <= bound:
+            break
+        by_waste = sorted((p for p in best if sum(p.lengths) < size), key=lambda p: sum(p.lengths))
+        picked: Counter[tuple[int, ...]] = Counter()
+        room = WINDOW if k % 2 else WINDOW // 3
+        for p in by_waste[: 8 * WINDOW] if k < 2 else rng.sample(by_waste, min(len(by_waste), WINDOW)):
+            picked[p.lengths] += min(p.count, max(0, room - picked.total()))
+        for p in rng.choices(best, [p.count for p in best], k=WINDOW - picked.total()):
+            if picked[p.lengths] < p.count:
+                picked[p.lengths] += 1
+        have: Counter[tuple[int, ...]] = Counter()
+        for p in best:
+            have[p.lengths] += p.count
+        picked = +Counter({f: min(n, have[f]) for f, n in picked.items()})
+        part: Counter[int] = Counter()
+        for f, n in picked.items():
+            for x in f:
+                part[x] += n
+        least = lower_bound(part, size)
+        start = min(best_fit(part, size), [Pattern(f, n) for f, n in picked.items()], key=bins_of)
+        found = complete(part, size, start, least, WINDOW_STEPS) if bins_of(start) > least else start
+        if bins_of(found) < picked.total():
+            have.subtract(picked)
+            for p in found:
+                have[p.lengths] += p.count
+            best = [Pattern(f, n) for f, n in (+have).items()]
+    return best
 
-    if bins_of(best) > bound and histogram:
-        import sys
 
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), nodes * 4 + 1000))
-        branch(0, 0)
-    return best, bound
+def solve(histogram: dict[int, int], size: int = SIZE, steps: int = STEPS) -> tuple[list[Pattern], int]:
+    """(patterns, lower bound): best-fit decreasing, improved by bin completion on the whole and on windows."""
+    histogram = {k: n for k, n in histogram.items() if n}
+    bound = lower_bound(histogram, size)
+    best = best_fit(histogram, size)
+    if bins_of(best) > bound:
+        best = complete(histogram, size, best, bound, steps)
+    return windows(best, size, bound), bound
 
 
 def runs(patterns: list[Pattern]) -> np.ndarray:
@@ -223,19 +280,25 @@ def runs(patterns: list[Pattern]) -> np.ndarray:
 def cut(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
     """Pieces with their digest, the task that made them and their place among its pieces of that length."""
 
+    tables, close = compile_vocabulary(vocabulary), CLOSE.to_bytes(4, "little")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = id_bytes(compiled(vocabulary)), TaskContext.get().partitionId()
+        automaton, task = loaded(tables), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py()) + CLOSE.to_bytes(4, "little")
-                for piece, start in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[start : start + 4 * size]
-                    n = len(part) // 4
-                    rows.append((doc, piece, start // 4, n, zlib.crc32(part), task, seen[n]))
-                    seen[n] += 1
-            if rows:
+            docs_ = iter(batch.column("doc_id").to_pylist())
+            for ids, counts in automaton.encode(x.as_py() for x in batch.column("text")):
+                rows, ids, begin = [], memoryview(ids.astype("<u4").tobytes()), 0
+                for doc, n_ids in zip(islice(docs_, len(counts)), counts.tolist()):
+                    for piece, start in enumerate(range(0, n_ids + 1, size)):
+                        stop = min(start + size, n_ids)
+                        crc = zlib.crc32(ids[4 * (begin + start) : 4 * (begin + stop)])
+                        n = stop - start
+                        if n < size:  # the document's last id
+                            crc, n = zlib.crc32(close, crc), n + 1
+                        rows.append((doc, piece, start, n, crc, task, seen[n]))
+                        seen[n] += 1
+                    begin += n_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"]
@@ -243,12 +306,12 @@ def cut(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long")
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, nodes: int = NODES) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, steps: int = STEPS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = materialize(cut(docs, vocabulary, size), "pieces")
     counts = materialize(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # ``size`` rows at most
-    patterns, _ = solve(histogram, size, nodes)
+    patterns, _ = solve(histogram, size, steps)
     table = runs(patterns)  # its rows follow the distinct lengths, not the corpus
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("task", "length", "first")
@@ -262,7 +325,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, nodes: int = NODES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *extra], [*names, "sequence_id", "offset"])
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = pieces.join(firsts, ["task", "length"]).select(*names, (F.col("first") + F.col("place")).alias("rank"))
+    ranked = pieces.join(firsts.hint("merge"), ["task", "length"]).select(*names, (F.col("first") + F.col("place")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

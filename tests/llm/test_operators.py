@@ -62,19 +62,39 @@ def automaton():
     return bpe.TokenAutomaton(bpe.load_vocabulary())
 
 
-def test_bpe_equals_the_library(automaton):
+def test_bpe_equals_the_library(automaton, monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
 
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    encode, r = bpe.id_bytes(automaton), random.Random(1)
-    labels = [s.removesuffix(bpe.END) for s in automaton.arcs]
-    letters = "aaabbcdeéèñßthin '.,!?0123-_ \t\n ΣσςİıI日本한😀<|endoftext|>\x1c\x85"
+    r = random.Random(1)
+    labels = [s.removesuffix(bpe.END) for s in automaton.labels.values()]
+    letters = "aaabbcdeéèñßthin '.,!?0123-_ \t\n ΣσςİıI日本한😀<|endoftext|>\x1c\x85\u0308\u2003"
     texts = [t or "" for t in TEXTS[:-2]] + [TEXTS[-1]] + ["".join(r.choice(letters) for _ in range(30)) for _ in range(300)] + ["".join(r.choice(labels) for _ in range(5)) for _ in range(300)]
-    for t in texts:
-        ids = library.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(encode(t), np.uint32).tolist() == ids
-        assert automaton.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    texts += ["x" * 5000 + " " + "ab1" * 300 + "'s", "<|endoftext|><|startoftext|>a<|endoftext|>", "".join(r.choice("abcdeXYZ019+/") for _ in range(20_000))]
+    for table in (bpe.TABLE, 40):  # also with a table that falls back all the time
+        monkeypatch.setattr(bpe, "TABLE", table)
+        found = [x.tolist() for ids, n in automaton.encode(texts) for x in np.split(ids, np.cumsum(n)[:-1])]
+        for t, ids in zip(texts, found, strict=True):
+            want = library.encode(t, add_special_tokens=False).ids
+            assert ids == want and automaton.decode(ids) == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_query_on_odd_tables(spark):
+    import public_tokenizers
+    tokenizers = pytest.importorskip("tokenizers")
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    long = " ".join(f"word{i} größe{i % 977}!" for i in range(150_000))  # over 2 MB
+    rows = [(1, long, "x", 1), (1, long, "x", 1), (None, "a b", None, None), (3, None, "y", 2), (4, "\x1c a", "y", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids_sha256 string, n_tokens int")
+    got = bpe.digests(df, bpe.load_vocabulary()).collect()
+    want = []
+    for doc, text, *_ in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        shas = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+        want.append((doc, len(ids), *shas))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
 def test_bpe_digests(docs, none, automaton):
@@ -119,13 +139,48 @@ def test_packing_solver_keeps_every_piece():
         assert used == +lengths and bound <= packing.bins_of(patterns) <= packing.bins_of(packing.best_fit(lengths, size))
 
 
+def test_packing_fillings_are_all_undominated_ones():
+    """Against every subset: a filling is dropped only if another, with the same or one more length, dominates it."""
+    r = random.Random(2)
+    for _ in range(60):
+        room, counts = r.randint(8, 30), dict(Counter(r.randint(2, 14) for _ in range(r.randint(1, 7))))
+        got = {f for _, f in packing.fillings(counts, room, [10**6])}
+        sets = {()}
+        for x, n in counts.items():
+            sets = {tuple(sorted((*s, *[x] * k), reverse=True)) for s in sets for k in range(n + 1) if sum(s) + k * x <= room}
+        assert got <= sets
+        # what can be reached with the kept fillings is as good as with all: some kept one holds each set as bins
+        holds = lambda f, s: not s or any(x >= s[0] and holds(tuple(sorted((*f[:i], *f[i + 1 :], x - s[0]), reverse=True)), s[1:]) for i, x in enumerate(f))
+        assert all(any(holds(f, s) for f in got) for s in sets)
+
+
+def test_packing_beats_best_fit():
+    r, better = random.Random(3), 0
+    for _ in range(12):
+        lengths = Counter(r.randint(400, 1000) for _ in range(60))
+        found, bound = packing.solve(lengths, 2048)
+        assert bound <= packing.bins_of(found) <= packing.bins_of(packing.best_fit(lengths, 2048))
+        better += packing.bins_of(found) < packing.bins_of(packing.best_fit(lengths, 2048))
+    assert better >= 4
+
+
+def test_packing_on_odd_tables(spark, automaton):
+    rows = [(i % 3, "the same text", "x", 1) for i in range(9)] + [(7, "word " * 9001, "y", 2), (7, None, "y", 2)]  # ties, repeats, one long text
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, piece string, task int"), bpe.load_vocabulary()).toPandas()
+    assert sorted(got.length) == sorted([4] * 9 + [2048] * 4 + [9002 - 4 * 2048, 1])
+    g = got.sort_values(["sequence_id", "offset"])
+    assert ((g.groupby("sequence_id").length.cumsum() - g.length) == g.offset).all() and got.sequence_id.nunique() == 5
+
+
 def test_packing(docs, none, automaton):
     got = packing.pack(docs, bpe.load_vocabulary(), size=64).toPandas()
     assert set(got.doc_id) == set(range(10)) and got.length.max() == 64
     g = got.sort_values(["sequence_id", "offset"])
     assert ((g.groupby("sequence_id").length.cumsum() - g.length) == g.offset).all() and g.groupby("sequence_id").length.sum().max() <= 64
-    ids = bpe.id_bytes(automaton)(TEXTS[0]) + b"\0\0\0\0"
-    assert got[(got.doc_id == 0) & (got.piece == 0)].ids_crc32.tolist() == [zlib.crc32(ids[:256])]
+    for i, text in enumerate(TEXTS):
+        ids = np.array([*automaton.ids(text), packing.CLOSE], "<u4")
+        want = [(k, s, len(ids[s : s + 64]), zlib.crc32(ids[s : s + 64].tobytes())) for k, s in enumerate(range(0, len(ids), 64))]
+        assert sorted(got[got.doc_id == i][["piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
     assert packing.pack(none, bpe.load_vocabulary()).count() == 0
 
 
