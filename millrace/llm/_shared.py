@@ -7,14 +7,18 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows below which a side may be broadcast; counted before every broadcast.
 BROADCAST_ROWS = 200_000
 #: Target MB of packed data that one reducing task holds.
 BUCKET_MB = 24
+#: Tasks over which the rows of a hot key are dealt. A key is hot if it has over
+#: HOT_ROWS rows and over 1/HOT_SHARE of all rows: HOT_SHARE keys at most.
+SALTS, HOT_ROWS, HOT_SHARE = 64, 1000, 10_000
 _ROOTS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,15 +26,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see.
+    """A folder that the driver and all executors see: the one that ``spark.checkpoint.dir`` names.
 
-    The cluster names it in ``spark.checkpoint.dir``; a local folder is used
-    only where that is unset, as in tests.
+    Where it is unset, a local folder serves a local master, as in tests; on a
+    cluster that is an error, as other hosts would not see such a folder.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _ROOTS.setdefault(app, tempfile.mkdtemp(prefix="millrace-"))
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all hosts of {master} see")
+        base = _ROOTS.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="millrace-")
+        _ROOTS[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
@@ -38,20 +45,56 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN[spark.sparkContext.applicationId].remove(path)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing lazy reads any more."""
     for t in tables:
         path = getattr(t, "_millrace_path", None)
-        if path:
-            spark = t.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _WRITTEN.get(t.sparkSession.sparkContext.applicationId, ()):
+            _delete(t.sparkSession, path)
+
+
+def sweep(spark: SparkSession, *kept: DataFrame) -> int:
+    """Delete every table that this application materialized but ``kept``; for when the results that read them are written."""
+    keep = {getattr(t, "_millrace_path", None) for t in kept}
+    gone = [p for p in _WRITTEN.get(spark.sparkContext.applicationId, ()) if p not in keep]
+    for path in gone:
+        _delete(spark, path)
+    return len(gone)
+
+
+def unused_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while base.lower() in have:
+        base += "_"
+    return base
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], deal: Column, n: str, total: int) -> DataFrame:
+    """``rows`` left join ``table`` (one row per key, of which ``n`` of ``total`` rows have it) with hot keys dealt over SALTS tasks by ``deal``.
+
+    Rows with a null key match nothing and are dealt over all tasks.
+    """
+    is_hot = F.col(n) > max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(table.filter(is_hot).select(*keys, F.lit(SALTS).alias("_salts")))  # HOT_SHARE rows at most
+    null = F.greatest(*(F.col(k).isNull() for k in keys)) if len(keys) > 1 else F.col(keys[0]).isNull()
+    salts = F.when(null, F.lit(1 << 30)).otherwise(F.coalesce("_salts", F.lit(1)))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(deal), salts).cast("int")).drop("_salts")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, SALTS - 1).otherwise(0)))).drop(n)
+    return dealt.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
 
 def input_mb(df: DataFrame, text: str = "text") -> float:
@@ -70,7 +113,7 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash; cleared when full, so its memory is bounded."""
 
-    limit = 1_000_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
