@@ -1,20 +1,23 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 A pattern finds candidates (long runs of token characters with a digit, values
-after a password cue, private-key headers). Each is described by its length,
-character classes and transitions, the share that dictionary fragments cover,
-whether it is part of a path, and the neighbouring words. A random forest,
-trained on the driver from a bounded set of labelled findings, scores it; the
-trees become CASE expressions, so documents are scanned by SQL functions only,
-in one pass and without a shuffle.
+after a password cue in any case, private keys with their bodies). Each is
+described by its length, character classes and transitions, the share that
+dictionary fragments cover, whether it is part of a path, and the neighbouring
+words. A random forest, trained on the driver from a bounded set of labelled
+findings, scores it; the trees become CASE expressions, so documents are scanned
+by SQL functions only, in one pass and without a shuffle.
+
+The text is split by the pattern into gaps and matches; places are sums of their
+lengths, so a span is where the pattern matched, whatever else the text holds.
 
 Labelled findings: ``labelled_findings`` makes TRAIN_ROWS of them from a seed
 (token formats, hashes, identifiers, paths and words in typical contexts), as
 the tables carry no labels for findings. Pass others to ``train``.
 
-Defined results: a null or empty text has no candidates; whole texts of any
-length are read; rows that repeat are scanned each; an empty table gives no
-rows; further columns are kept by ``redact``.
+Defined results: a null or empty text has no candidates; whole texts and values
+of any length are read; rows that repeat are scanned each; doc_id may be null; an
+empty table gives no rows; ``redact`` keeps further columns whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ TREES, MAX_DEPTH, MIN_LEAF = 15, 7, 5
 CUTOFF = 0.5
 MASK = "[SECRET]"
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|\b(?:password|passwd|pwd|secret|PASSWORD|SECRET)[\x22']?[ \t]{0,3}[:=][ \t]{0,3}[\x22']?[^\s\x22']{8,64}"
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]{0,20000}+(?:-(?!----)[^-]{0,20000}+){0,8}+-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+    r"|(?i:password|passwd|pwd|passphrase|secret)[\x22']?[ \t]{0,3}[:=][ \t]{0,3}[\x22']?[^\s\x22']{8,}+"
     r"|[A-Za-z0-9_+/-]{16,}+(?:\.[A-Za-z0-9_-]{10,}+){0,2}={0,2}"
 )
 FRAGMENTS = "the|and|ing|ion|ent|for|test|data|file|name|user|page|image|index|config|class|value|type|http|www|com|org|node|java|python|module|version|release|build|main|master|static|public|lib|src|docs|path"
@@ -65,7 +68,7 @@ def _features(c: str, before: str, after: str) -> str:
         "path": flag(f"({c} rlike '/.*/' and not {c} rlike '[+=]') or {before} rlike '[/.@]$' or {after} rlike '^[/]|^[.][a-z]{{2,4}}'"),
         "assigned": flag(f"{before} rlike '[:=][ \\\\t]*[\\\\x22\\']?$' or {c} rlike '[:=]'"),
         "quoted": flag(f"{before} rlike '[\\\\x22\\']$'"),
-        "good": flag(f"{before} rlike '{_sql(GOOD)}' or {c} rlike '^(?i)(passw|pwd|secret)'"),
+        "good": flag(f"{before} rlike '{_sql(GOOD)}' or {c} rlike '^(?i)(passw|pwd|passphrase|secret)'"),
         "bad": flag(f"{before} rlike '{_sql(BAD)}'"),
         "prefix": flag(f"{c} rlike '{_sql(PREFIX)}'"),
         "vowels": share("aeiouAEIOU"),
@@ -98,7 +101,7 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[str,
             lambda: "AIza" + pick(alnum + "-_", 35),
             lambda: "eyJ" + pick(alnum, 20) + ".eyJ" + pick(alnum, 40) + "." + pick(alnum + "-_", 43),
             lambda: pick(alnum + "+/", 40),
-            lambda: "-----BEGIN RSA PRIVATE KEY-----",
+            lambda: "-----BEGIN RSA PRIVATE KEY-----" + r.choice(("", "\n" + "\n".join(pick(alnum + "+/", 64) for _ in range(r.randint(1, 26))) + "\n-----END RSA PRIVATE KEY-----")),
         )
         kind = r.randrange(len(secret))
         c = secret[kind]()
@@ -108,8 +111,8 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[str,
             before = prose() + r.choice((" ", "\n", ' "'))
         out.append((c, before[-60:], r.choice(('"', "'", " ", "\n", "")) + prose(), 1))
         if r.random() < 0.1:
-            c = f"{r.choice(('password', 'passwd', 'pwd', 'secret'))}{r.choice((' = ', '=', ': '))}{pick(alnum + '!@#%', r.randint(8, 20))}"
-            out.append((c, prose() + " ", " " + prose(), 1))
+            c = f"{r.choice(('password', 'Password', 'PASSWORD', 'passwd', 'pwd', 'secret', 'SECRET'))}{r.choice((' = ', '=', ': '))}{pick(alnum + '!@#%', r.choice((8, 10, 12, 16, 20, 40, 90)))}"
+            out.append((c, prose() + r.choice((" ", " DB_", " my", "\n")), " " + prose(), 1))
         other = (
             lambda: (pick(hexes, r.choice((32, 40, 64))), f"{prose()} {r.choice(innocent)}{r.choice((' ', ': ', '=', ' = '))}"),
             lambda: (f"{pick(hexes, 8)}-{pick(hexes, 4)}-{pick(hexes, 4)}-{pick(hexes, 4)}-{pick(hexes, 12)}", prose() + r.choice((" ", " id=", " request ", ": "))),
@@ -188,41 +191,46 @@ def _pattern() -> str:
     return _sql(CANDIDATE)
 
 
-def findings(docs: DataFrame, forest: list | None = None) -> DataFrame:
-    """``docs`` with ``_f``: an array of (start, end, score) per candidate, starts from 0, ends exclusive."""
-    forest = forest or forest_of(docs.sparkSession)
-    some = f"filter(regexp_extract_all(coalesce(text, ''), '{_pattern()}', 0), c -> c rlike '[0-9]' or c rlike '^-----' or c rlike '[:=]')"
-    start = "IF(size(acc) = 0, 1, element_at(acc, -1).at + length(element_at(acc, -1).c))"
-    placed = f"aggregate({some}, cast(array() as array<struct<c:string,at:int>>), (acc, c) -> concat(acc, array(struct(c, locate(c, text, {start}) as at))))"
-    around = f"transform({placed}, p -> struct(p.c as c, p.at as at, substring(text, greatest(p.at - 60, 1), least(p.at - 1, 60)) as b, substring(text, p.at + length(p.c), 12) as a))"
-    described = f"transform({around}, p -> struct(p.at - 1 as start, p.at - 1 + length(p.c) as end, {_features('p.c', 'p.b', 'p.a')}))"
-    return docs.withColumn("_f", F.expr(f"transform({described}, x -> struct(x.start as start, x.end as end, {forest_sql(forest, 'x')} as score))"))
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` stands for ``value``, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _redacted() -> str:
-    """SQL: the text with the secret spans masked."""
-    step = f"(s, x) -> struct(concat(s.out, substring(text, s.at + 1, x.start - s.at), '{MASK}') as out, x.end as at)"
-    return f"aggregate(_s, struct('' as out, 0 as at), {step}, s -> concat(s.out, substring(text, s.at + 1, 2147483647)))"
+def _examined(forest: list, body: str, none: str) -> str:
+    """SQL over the column ``text``: ``body``, in which t.m are the matches, t.g the gaps around them and s the scores (null: no candidate); ``none`` where nothing matches."""
+    before = "right(concat(IF(i > 0, concat(right(t.g[i - 1], 60), t.m[i - 1]), ''), t.g[i]), 60)"
+    after = "left(concat(t.g[i + 1], IF(i + 1 < size(t.m), t.m[i + 1], '')), 12)"
+    around = f"transform(t.m, (c, i) -> IF(c rlike '[0-9]' or c rlike '^-----' or c rlike '[:=]', struct(c as c, {before} as b, {after} as a), null))"
+    described = f"transform({around}, p -> IF(p is null, null, struct({_features('p.c', 'p.b', 'p.a')})))"
+    scores = f"transform({described}, x -> IF(x is null, null, {forest_sql(forest, 'x')}))"
+    split = f"struct(regexp_extract_all(text, '{_pattern()}', 0) as m, split(text, '{_pattern()}', -1) as g)"
+    return f"CASE WHEN text is null or not text rlike '{_pattern()}' THEN {none} ELSE {_let(split, 't', _let(scores, 's', body))} END"
+
+
+#: SQL: end of match i: lengths are summed in blocks of 256, as many matches would else be summed each from the start.
+_ENDS = (
+    "element_at(transform(array(transform(t.m, (c, i) -> length(t.g[i]) + length(c))), l -> element_at(transform(array("
+    "transform(sequence(0, (size(l) - 1) div 256), b -> aggregate(slice(l, 1, int(b * 256)), 0, (x, y) -> x + y))), "
+    "h -> transform(l, (n, i) -> h[int(i div 256)] + aggregate(slice(l, int(i div 256) * 256 + 1, i % 256 + 1), 0, (x, y) -> x + y))), 1)), 1)"
+)
+_REDACTED = f"array_join(transform(t.g, (g, i) -> concat(g, IF(i < size(t.m), IF(s[i] >= {CUTOFF}, '{MASK}', t.m[i]), ''))), '')"
 
 
 def scan(docs: DataFrame, forest: list | None = None) -> DataFrame:
-    """One row per document: n_candidates, n_secrets, spans, top_score, redacted_sha256."""
-    found = findings(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), forest).withColumn("_s", F.expr(f"filter(_f, x -> x.score >= {CUTOFF})"))
-    return found.select(
-        "doc_id",
-        F.size("_f").cast("long").alias("n_candidates"),
-        F.size("_s").cast("long").alias("n_secrets"),
-        F.expr("array_join(transform(_s, x -> concat(x.start, ':', x.end)), ',')").alias("spans"),
-        F.round(F.expr("coalesce(array_max(transform(_f, x -> x.score)), 0D)"), 6).alias("top_score"),
-        F.sha2(F.when(F.size("_s") == 0, F.col("text")).otherwise(F.expr(_redacted())), 256).alias("redacted_sha256"),
-    )
+    """One row per document: n_candidates, n_secrets, spans (start:end, from 0, end exclusive), top_score, redacted_sha256."""
+    forest = forest or forest_of(docs.sparkSession)
+    secret = f"filter(transform(s, (v, i) -> IF(v >= {CUTOFF}, i, null)), i -> i is not null)"
+    spans = _let(_ENDS, "e", _let(secret, "k", "array_join(transform(k, i -> concat(e[i] - length(t.m[i]), ':', e[i])), ',')"))
+    body = f"struct(cast(size(filter(s, v -> v is not null)) as long) as n_candidates, cast(size({secret}) as long) as n_secrets, IF(size({secret}) = 0, '', {spans}) as spans, round(coalesce(array_max(s), 0D), 6) as top_score, {_REDACTED} as redacted)"
+    none = "struct(0L as n_candidates, 0L as n_secrets, '' as spans, 0D as top_score, coalesce(text, '') as redacted)"
+    found = docs.select("doc_id", F.expr(_examined(forest, body, none)).alias("_s"))
+    return found.select("doc_id", "_s.n_candidates", "_s.n_secrets", "_s.spans", "_s.top_score", F.sha2("_s.redacted", 256).alias("redacted_sha256"))
 
 
 def redact(docs: DataFrame, forest: list | None = None) -> DataFrame:
     """``docs`` with secrets masked in ``text``; no document is dropped."""
-    found = findings(docs, forest).withColumn("_s", F.expr(f"filter(_f, x -> x.score >= {CUTOFF})"))
-    text = F.when(F.col("text").isNull() | (F.size("_s") == 0), F.col("text")).otherwise(F.expr(_redacted()))
-    return found.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    forest = forest or forest_of(docs.sparkSession)
+    return docs.withColumn("text", F.expr(_examined(forest, _REDACTED, "text")))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
