@@ -74,7 +74,7 @@ class CleanConfig:
     #: and the number of rows above which quantiles are approximate (1e-4 of rank).
     order_by: str | None = None
     time_index: str | None = None
-    exact_quantile_rows: int = 20_000_000
+    exact_quantile_rows: int = 2_000_000
 
     def __post_init__(self) -> None:
         for name in ("extra_sentinels", "preserve_columns", "id_columns", "duplicate_subset"):

@@ -201,8 +201,7 @@ def apply_repairs(df: DataFrame, findings: list[Finding], mapping: dict[str, str
 
 def fold(report: CleanReport, outcome: Outcome) -> None:
     report.domain, report.domain_trust_score = outcome.pack.name, outcome.trust
-    report.domain_findings += [f.to_dict() for f in outcome.findings]
-    report.domain_repairs += outcome.repairs
+    report.found([f.to_dict() for f in outcome.findings], outcome.repairs)
     for f in outcome.findings:
         if not f.passed:
             report.add(f"domain:{outcome.pack.name}", f"{f.rule.id}: {f.table_level or f'{f.violations} violation(s)'}", column=outcome.mapping.get(f.rule.fields[0]), risk={"error": "high", "warning": "medium", "info": "low"}[f.rule.severity])
@@ -238,7 +237,7 @@ def clean_feed(tables: dict, domain: str, config: CleanConfig, column_map, audit
         out[name] = outcome.frame
         scores.append(outcome.trust)
         fold(report, outcome)
-        report.actions[:0] = reports[name].actions
+        report.before(reports[name])
     report.domain_trust_score = sum(scores) / len(scores) if scores else None
     report.rows_before, report.rows_after = (sum(getattr(r, k) for r in reports.values()) for k in ("rows_before", "rows_after"))
     return out, report

@@ -32,9 +32,13 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
+#: White space of any script: what Unicode gives the property White_Space.
+WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Without white space (of any script) at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def is_sentinel(stripped: Column, sentinels: tuple[str, ...]) -> Column:
@@ -81,7 +85,10 @@ SCRUB = {
 
 def scrub(c: Column, names: tuple[str, ...], regexes: tuple[str, ...], placeholder: str) -> Column:
     safe = placeholder.replace("\\", "\\\\").replace("$", "\\$")
-    for pattern in (*(SCRUB[n] for n in names), *regexes):
+    for name in names:  # a text without the sign that each form needs isn't searched
+        sign = c.contains("@") if name == "email" else c.rlike(r"\p{Nd}")
+        c = F.when(sign, F.regexp_replace(c, "(?U)" + SCRUB[name], safe)).otherwise(c)
+    for pattern in regexes:
         c = F.regexp_replace(c, "(?U)" + pattern, safe)
     return c
 

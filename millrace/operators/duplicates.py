@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..config import CleanConfig
 from ..plans.repair import RID, c, data_columns
@@ -41,7 +40,6 @@ def drop_duplicates(df: DataFrame, config: CleanConfig, report: CleanReport, row
         removed = df.groupBy(*(c(n) for n in keys)).agg(F.count(F.lit(1)).alias(COUNT)).filter(F.col(COUNT) > 1).agg(F.sum(COUNT)).first()[0]
     high = share > config.duplicate_threshold
     report.add("drop_duplicates", f"removed {removed} duplicate row(s) ({100 * share:.1f}%), keep={config.duplicate_keep}", count=removed, risk="medium" if high else "low", rationale="equal rows carry no further information")
-    report.duplicates_removed += removed
     if high:
         report.warn(f"{100 * share:.1f}% of the rows are duplicates; check the export or join that made them")
         report.recommend("review where the duplicate rows come from")
@@ -49,23 +47,26 @@ def drop_duplicates(df: DataFrame, config: CleanConfig, report: CleanReport, row
 
 
 def _kept(df: DataFrame, keys: list[str], cols: list[str], config: CleanConfig) -> DataFrame:
+    """One row per group, by aggregates that the map tasks begin; rows without a place in the order come last."""
     how = config.duplicate_keep
+    rest = [n for n in cols if n not in keys]
+    groups = df.groupBy(*(c(n) for n in keys))
+    place = F.struct(F.col(RID).isNull(), F.col(RID))
     if how == "aggregate" and config.duplicate_subset:
-        rest = []
-        for n in cols:
-            if n in keys:
-                continue
-            t = df.schema[n].dataType
-            if isinstance(t, (T.NumericType,)):
-                rest.append(F.avg(c(n)).alias(n))
-            else:
-                rest.append(F.min_by(c(n), F.when(c(n).isNotNull(), F.col(RID))).alias(n))
-        return df.groupBy(*(c(n) for n in keys)).agg(*rest, F.min(RID).alias(RID)).select(*(c(n) for n in cols), RID)
+        number = lambda n: isinstance(df.schema[n].dataType, T.NumericType)
+        values = [(F.avg(c(n)) if number(n) else F.min_by(c(n), F.when(c(n).isNotNull(), F.struct(place, *_orderable(df, [n]))))).alias(n) for n in rest]
+        return groups.agg(*values, F.min(RID).alias(RID)).select(*(c(n) for n in cols), RID)
+    row = F.struct(*(c(n) for n in rest), F.col(RID))
+    out = [c(n) if n in keys else F.col(f"_row.`{n}`").alias(n) for n in cols]
     if how == "drop":
-        return df.withColumn(COUNT, F.count(F.lit(1)).over(Window.partitionBy(*(c(n) for n in keys)))).filter(F.col(COUNT) == 1).drop(COUNT)
-    if len(keys) == len(cols):
+        return groups.agg(F.count(F.lit(1)).alias(COUNT), F.first(row).alias("_row")).filter(F.col(COUNT) == 1).select(*out, F.col(f"_row.{RID}").alias(RID))
+    if not rest:
         pick = F.max(RID) if how == "last" else F.min(RID)
-        return df.groupBy(*(c(n) for n in cols)).agg(pick.alias(RID)).select(*(c(n) for n in cols), RID)
-    row = F.struct(*(c(n) for n in cols if n not in keys), F.col(RID))
-    pick = F.max_by(row, RID) if how == "last" else F.min_by(row, RID)
-    return df.groupBy(*(c(n) for n in keys)).agg(pick.alias("_row")).select(*(c(n) if n in keys else F.col(f"_row.`{n}`").alias(n) for n in cols), F.col(f"_row.{RID}").alias(RID))
+        return groups.agg(pick.alias(RID)).select(*(c(n) for n in cols), RID)
+    place = F.struct(place, *_orderable(df, rest))  # ties in the order are broken by the other columns
+    pick = F.max_by(row, place) if how == "last" else F.min_by(row, place)
+    return groups.agg(pick.alias("_row")).select(*out, F.col(f"_row.{RID}").alias(RID))
+
+
+def _orderable(df: DataFrame, cols: list[str]) -> list[Column]:
+    return [c(n) for n in cols if not isinstance(df.schema[n].dataType, (T.MapType, T.VariantType))]

@@ -193,8 +193,7 @@ def engine_missing(df: DataFrame, config: CleanConfig, report: CleanReport, cont
         note = dict(column=x.name, rationale=fill.rationale, risk=fill.risk, confidence=fill.confidence, model_id=fill.model)
         share = f"{x.n_missing} missing ({100 * x.ratio:.1f}%)"
         if fill.what is None:
-            report.add("missing", f"preserved {share}", **note)
-            report.columns_preserved.append(x.name)
+            report.add("missing", f"preserved {share}", outcome="preserved", **note)
             if x.role == "target":
                 report.warn(f"target column '{x.name}' has {share}; rows without a label usually go")
             elif x.role == "id":
@@ -204,8 +203,7 @@ def engine_missing(df: DataFrame, config: CleanConfig, report: CleanReport, cont
             continue
         if fill.what == "drop":
             drop.append(x.name)
-            report.add("missing", f"dropped column: {share}", count=1, **note)
-            report.columns_dropped.append(x.name)
+            report.add("missing", f"dropped column: {share}", count=1, outcome="dropped", **note)
             continue
         if fill.indicator:
             name = f"{x.name}_was_missing"
@@ -219,8 +217,7 @@ def engine_missing(df: DataFrame, config: CleanConfig, report: CleanReport, cont
         else:
             change[x.name] = filled(df, x.name, fill.what)
         shown = fill.model if fill.what in ("time", "knn") else f"{fill.model} {fill.what!r}"
-        report.add("missing", f"filled {share} with {shown}", count=x.n_missing, **note)
-        report.columns_imputed.append(x.name)
+        report.add("missing", f"filled {share} with {shown}", count=x.n_missing, outcome="imputed", **note)
     for name, partners, fallback in neighbours:
         df = knn_fill(df, name, partners, fallback)
     if change:
@@ -316,6 +313,5 @@ def plain_impute(df: DataFrame, config: CleanConfig, report: CleanReport) -> Dat
         else:
             continue
         change[x.name] = filled(df, x.name, value)
-        report.add("impute", f"filled {x.n_missing} missing with {how} {value!r}", column=x.name, count=x.n_missing, risk="medium")
-        report.columns_imputed.append(x.name)
+        report.add("impute", f"filled {x.n_missing} missing with {how} {value!r}", column=x.name, count=x.n_missing, risk="medium", outcome="imputed")
     return df.withColumns(change) if change else df

@@ -145,7 +145,6 @@ def engine_outliers(df: DataFrame, config: CleanConfig, report: CleanReport, con
             name = flag_name(df, n)
             change[name] = mask
             report.add("outliers", f"flagged {detail} in new column {name!r}", column=n, count=count, rationale=reason, confidence=confidence, model_id="flag")
-        report.outliers_handled += count
     if change:
         df = df.withColumns(change)
     if remove is not None:
@@ -171,5 +170,4 @@ def plain_outliers(df: DataFrame, config: CleanConfig, report: CleanReport) -> D
         else:
             change[flag_name(df, n)] = fence.mask(c(n))
         report.add("outliers", f"{config.outliers}: {counts[n]} value(s) ({fence.label})", column=n, count=counts[n])
-        report.outliers_handled += counts[n]
     return df.withColumns(change) if change else df

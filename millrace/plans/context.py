@@ -114,6 +114,8 @@ def build_contexts(df: DataFrame, config: CleanConfig, need_modes: bool = True)
         measures[n, "n"] = F.count(c(n))
         if kind != "nested":
             measures[n, "distinct"] = F.approx_count_distinct(c(n), 0.02)
+        if kind == "string":
+            measures |= {(n, "length"): F.avg(F.length(c(n))), (n, "words"): F.avg(F.length(c(n)) - F.length(F.translate(c(n), " ", "")) + 1)}
         if kind in ("integer", "double"):
             x = c(n).cast("double")
             measures |= {(n, "skew"): F.skewness(x), (n, "mean"): F.avg(x), (n, "std"): F.stddev_samp(x)}
@@ -121,12 +123,10 @@ def build_contexts(df: DataFrame, config: CleanConfig, need_modes: bool = True)
     rows = m["*"]
     near = [n for n, k in fields.items() if k != "nested" and (rows <= EXACT_ROWS or (k in ("integer", "string") and m[n, "n"] >= 20 and m[n, "distinct"] >= 0.9 * m[n, "n"] and not is_target(n, config) and not ID_NAME.search(n)))]
     exact = agg_row(df, {n: F.count_distinct(c(n)) for n in near}) if near else {}
-    texts = [n for n, k in fields.items() if k == "string"]
-    shape = _text_shape(df, texts)
     out: dict[str, ColumnContext] = {}
     for n, kind in fields.items():
         nunique = None if kind == "nested" else exact.get(n, min(m[n, "distinct"], m[n, "n"]))
-        length, words = shape.get(n, (None, None))
+        length, words = m.get((n, "length")), m.get((n, "words"))
         role = role_of(n, kind, config, m[n, "n"], nunique, length, words)
         out[n] = ColumnContext(n, role, kind, rows, rows - m[n, "n"], nunique, n in exact, sample_skew(m.get((n, "skew")), m[n, "n"]), m.get((n, "mean")), m.get((n, "std")), preserve=n in config.preserve_columns, sensitive=bool(SENSITIVE.search(n)))
     gaps = [x for x in out.values() if x.n_missing]
@@ -142,20 +142,6 @@ def build_contexts(df: DataFrame, config: CleanConfig, need_modes: bool = True)
     return out
 
 
-def _text_shape(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
-    """Average length and words of the first 200 values of each text column, read from the first rows."""
-    if not cols:
-        return {}
-    first = df.select(*(c(n) for n in cols)).limit(2000)
-    out = {}
-    for n in cols:
-        s = first.filter(c(n).isNotNull()).select(c(n).alias("s")).limit(200)
-        row = s.agg(F.avg(F.length("s")), F.avg(F.length(F.regexp_replace("s", "[^ ]", "")) + 1)).first()
-        if row[0] is not None:
-            out[n] = (row[0], row[1])
-    return out
-
-
 def modes(df: DataFrame, cols: list[str], contexts: dict[str, ColumnContext]) -> dict[str, tuple]:
     """Most frequent value (the smallest of ties) and its share, one job for all columns."""
     if not cols:

@@ -7,6 +7,7 @@ a second one tests the conversions; both read only the string columns they need.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -21,21 +22,36 @@ RID = "_rid"
 CHUNK = 60
 TRUE, FALSE = ("true", "t", "yes", "y"), ("false", "f", "no", "n")
 CURRENCY = "$€£₹"
-DATEISH = (
-    r"(?i)\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}:\d{2}"
-    r"|(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[ .,-]*\d{1,4}"
-    r"|\d{1,2}[ .,-]*(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
-)
 #: Date formats tried in order; those that differ by day or month first stand apart.
 ISO_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/M/d", "yyyy.M.d", "yyyy-M-d", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "d-MMM-yy", "MMM yyyy")
 MONTH_FIRST = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M-d-yyyy", "M.d.yyyy", "M/d/yy")
 DAY_FIRST = ("d/M/yyyy", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "d-M-yyyy", "d.M.yyyy", "d/M/yy")
 
 
+#: What a letter run of a format stands for in a text.
+FIELDS = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}"}
+LONGEST_DATE = 40
+
+
 def c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def shape_of(fmt: str) -> str:
+    """The pattern of the texts that a date format may read, made from the format itself."""
+    parts = re.finditer(r"'([^']*)'|([A-Za-z])\2*|.", fmt)
+    return "".join(FIELDS[m[0]] if m[2] else re.escape(m[0] if m[1] is None else m[1]) for m in parts)
+
+
+def date_shapes(day_first: bool | None = None) -> dict[str, list[str]]:
+    """Formats by shape, in the order they are tried; ``day_first`` orders those that differ by day or month first."""
+    either = (*DAY_FIRST, *MONTH_FIRST) if day_first else (*MONTH_FIRST, *DAY_FIRST)
+    out: dict[str, list[str]] = {}
+    for fmt in (*ISO_FORMATS, *either):
+        out.setdefault(shape_of(fmt), []).append(fmt)
+    return out
+
+
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name != RID]
 
@@ -117,8 +133,7 @@ def drop_empty(df: DataFrame, config: CleanConfig, report: CleanReport) -> DataF
         gone = [n for n in cols if counts[n] == 0]
         if gone:
             for n in gone:
-                report.add("drop_empty_columns", "dropped: every value is missing", column=n, count=1)
-            report.columns_dropped += gone
+                report.add("drop_empty_columns", "dropped: every value is missing", column=n, count=1, outcome="dropped")
             df = df.drop(*(f"{n}" for n in gone))
             cols = [n for n in cols if n not in gone]
     if config.drop_empty_rows and counts["*empty"] and cols:
@@ -144,8 +159,7 @@ def drop_constant(df: DataFrame, config: CleanConfig, report: CleanReport) -> Da
         return df
     gone = [n for n in cols if stats[n, "n"] == 0 or (stats[n, "n"] == stats["*"] and stats[n, "min"] == stats[n, "max"])]
     for n in gone:
-        report.add("drop_constant_columns", "dropped: one value in every row", column=n, count=1)
-    report.columns_dropped += gone
+        report.add("drop_constant_columns", "dropped: one value in every row", column=n, count=1, outcome="dropped")
     return df.drop(*gone)
 
 
@@ -170,9 +184,11 @@ def formatted_number(col: Column, config: CleanConfig) -> Column:
     return F.when(col.rlike(form), plain).otherwise(col)
 
 
-def parsed_date(col: Column, day_first: bool) -> Column:
-    order = (*ISO_FORMATS, *((*DAY_FIRST, *MONTH_FIRST) if day_first else (*MONTH_FIRST, *DAY_FIRST)))
-    return F.coalesce(*(F.try_to_timestamp(col, F.lit(f)).cast("timestamp_ntz") for f in order))
+def parsed_date(col: Column, day_first: bool, seen: set[str] | None = None) -> Column:
+    """The first format that reads a text; only formats of its shape are tried, of the shapes in ``seen``."""
+    read = lambda formats: F.coalesce(*(F.try_to_timestamp(col, F.lit(f)).cast("timestamp_ntz") for f in formats))
+    shapes = {s: formats for s, formats in date_shapes(day_first).items() if seen is None or s in seen}
+    return F.coalesce(*(F.when(col.rlike(f"^{s}$"), read(formats)) for s, formats in shapes.items()))
 
 
 def suggest(df: DataFrame, config: CleanConfig, cols: list[str] | None = None) -> dict[str, Conversion]:
@@ -181,10 +197,13 @@ def suggest(df: DataFrame, config: CleanConfig, cols: list[str] | None = None) -
     if not cols:
         return {}
     measures: dict = {}
-    fields = r"^\s*(\d{1,4})[-/.](\d{1,2})[-/.](\d{1,4})"
+    shapes = list(date_shapes())
+    either = "|".join(dict.fromkeys(map(shape_of, MONTH_FIRST)))
     for n in cols:
         s, low = c(n), F.lower(c(n))
-        first, second = (F.regexp_extract(s, fields, i).try_cast("int") for i in (1, 2))
+        dated = F.when((F.length(s) <= LONGEST_DATE) & s.rlike(f"^(?:{'|'.join(shapes)})$"), s)
+        fields = F.split(F.when(dated.rlike(f"^(?:{either})$"), dated), "[^0-9]+")  # day and month, or month and day
+        first, second = (F.get(fields, F.lit(i)).try_cast("int") for i in (0, 1))
         measures |= {
             (n, "n"): F.count(s),
             (n, "bool"): F.count_if(low.isin(*TRUE, *FALSE)),
@@ -193,8 +212,9 @@ def suggest(df: DataFrame, config: CleanConfig, cols: list[str] | None = None) -
             (n, "plain"): F.count(number(s)),
             (n, "formatted"): F.count(number(formatted_number(s, config))),
             (n, "zero"): F.bool_or(s.rlike(r"^\s*[+-]?0\d")),
-            (n, "dateish"): F.count_if((F.length(s) <= 40) & s.rlike(DATEISH)),
-            (n, "short"): F.count_if(F.length(s) <= 40),
+            (n, "dated"): F.count(dated),
+            **{(n, shape): F.count_if(dated.rlike(f"^{shape}$")) for shape in shapes},
+            (n, "short"): F.count_if(F.length(s) <= LONGEST_DATE),
             (n, "day"): F.count_if(first.between(13, 31)),
             (n, "month"): F.count_if(~F.coalesce(first.between(13, 31), F.lit(False)) & second.between(13, 31)),
         }
@@ -211,9 +231,9 @@ def suggest(df: DataFrame, config: CleanConfig, cols: list[str] | None = None) -
             plain = m[n, "plain"] / total >= config.numeric_threshold
             value = number(c(n)) if plain else number(formatted_number(c(n), config))
             second_look[n] = ("numeric", value, total - (m[n, "plain"] if plain else best))
-        elif m[n, "short"] and m[n, "dateish"] / m[n, "short"] >= 0.6:
+        elif m[n, "short"] and m[n, "dated"] / m[n, "short"] >= 0.6:
             day_first = config.dayfirst if isinstance(config.dayfirst, bool) else m[n, "day"] > m[n, "month"]
-            second_look[n] = ("datetime", parsed_date(c(n), day_first), None)
+            second_look[n] = ("datetime", parsed_date(c(n), day_first, {s for s in shapes if m[n, s]}), None)
     tests = {}
     for n, (kind, value, _) in second_look.items():
         tests[n] = F.count(value) if kind == "datetime" else F.bool_and((value == F.floor(value)) & (F.abs(value) < float(2**63 - 1024)))

@@ -264,8 +264,7 @@ class StreamingCleaner:
                 report.add("missing", f"preserved {gap} missing value(s)", column=n, rationale=f"{s.role} column")
                 continue
             change[n] = filled(df, n, value)
-            report.add("missing", f"filled {gap} missing value(s) with {how} {value!r}", column=n, count=gap, confidence=0.8, model_id=how)
-            report.columns_imputed.append(n)
+            report.add("missing", f"filled {gap} missing value(s) with {how} {value!r}", column=n, count=gap, confidence=0.8, model_id=how, outcome="imputed")
         return df.withColumns(change) if change else df
 
     def _drop_seen(self, df: DataFrame, report: CleanReport) -> DataFrame:

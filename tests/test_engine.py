@@ -123,3 +123,35 @@ def test_streaming_warms_up_then_fills(spark):
     shifted = batch.assign(x=batch.x * 1000)
     s.clean_batch(shifted)
     assert any(d.kind == "mean_shift" for d in s.drift)
+
+
+def test_duplicates_without_a_place_in_the_order(spark):
+    """Rows whose order_by is null are neither lost nor emptied; ties are broken by the other columns."""
+    df = spark.createDataFrame([(1, "x", None), (1, "y", None), (2, "b", 5), (2, "a", 5), (3, "p", None), (3, "q", 7)], "k int, v string, o int")
+    for keep, want in (("first", [(1, "x", None), (2, "a", 5), (3, "q", 7)]), ("last", [(1, "y", None), (2, "b", 5), (3, "p", None)]), ("drop", [])):
+        out = M.clean(df, strategy="conservative", duplicate_subset=("k",), duplicate_keep=keep, order_by="o", drop_duplicates=True)
+        assert sorted(map(tuple, out.collect()), key=repr) == want
+    out = M.clean(df, strategy="conservative", duplicate_subset=("k",), duplicate_keep="aggregate", order_by="o", drop_duplicates=True)
+    assert sorted(map(tuple, out.select("k", "v").collect())) == [(1, "x"), (2, "a"), (3, "q")]
+
+
+def test_report_counters_come_from_its_log(spark):
+    df = spark.createDataFrame([(1, " a "), (1, " a "), (2, "n/a")], "id int, name string")
+    _, report = M.clean(df, strategy="conservative", return_report=True, drop_duplicates=True)
+    assert report.duplicates_removed == 1 == sum(a.count for a in report.by_step("drop_duplicates"))
+    assert report.cells_changed == sum(a.count for a in report) and len(report) == len(report.actions) and bool(report)
+    shown = report.to_dict()
+    assert shown["rows_before"] == 3 and shown["rows_after"] == 2 and [a["step"] for a in shown["actions"]] == [a.step for a in report]
+    assert report.to_frame(spark).count() == len(report) and report.to_markdown().count("\n") == len(report) + 1 and "rows 3 -> 2" in report.summary()
+
+
+def test_dates_of_every_format_are_read(spark):
+    from datetime import datetime
+
+    from millrace.plans.repair import ISO_FORMATS, MONTH_FIRST, parsed_date, shape_of
+    from pyspark.sql import functions as F
+
+    at = datetime(2021, 3, 14, 5, 6, 7)
+    for fmt in (*ISO_FORMATS, *MONTH_FIRST):
+        row = spark.createDataFrame([(at,)], "t timestamp").select(F.date_format("t", fmt).alias("s")).select("s", parsed_date(F.col("s"), False).alias("d"), F.col("s").rlike(f"^{shape_of(fmt)}$").alias("ok")).first()
+        assert row.ok and row.d is not None and (row.d.year, row.d.month) == (2021, 3), fmt
