@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _shared
 from ._shared import materialize, release, spread_join
 
 
@@ -59,12 +60,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(_local_stars, "a long, b long").distinct(), "edges")
     for _ in range(most_rounds):
         n_edges = now.count()
+        meet = spread_join if n_edges > _shared.SMALL_ROWS else (lambda rows, table, keys, *_: rows.join(F.broadcast(table.drop("n")), keys, "left"))  # as many rows as ids at most
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = spread_join(both.filter("b > a"), low, ["a"], F.col("b"), "n", 2 * n_edges).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = meet(both.filter("b > a"), low, ["a"], F.col("b"), "n", 2 * n_edges).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = spread_join(down, least, ["a"], F.col("b"), "n", n_edges).select(F.col("b").alias("x"), "m", "a")
+        small = meet(down, least, ["a"], F.col("b"), "n", n_edges).select(F.col("b").alias("x"), "m", "a")
         stars = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         after = materialize(stars.mapInArrow(_local_stars, "a long, b long").distinct(), "edges")
         # settled: every id points at one root, and no root points on

@@ -8,8 +8,8 @@ the second alone. The gadgets are then compiled to a deterministic automaton ove
 the bytes of a word (``TokenAutomaton``): one transition a byte, no search and no
 merge loop; the arcs of the path are read back from the states it went through.
 
-The table is compiled on the driver for every label of the vocabulary and sent
-to the workers. The full table of a 49k vocabulary has over 10**7 cells, nearly
+The table is compiled once, in a task, for every label of the vocabulary and sent
+to all workers. The full table of a 49k vocabulary has over 10**7 cells, nearly
 all unused, so a word that leaves the compiled part adds the cells it needs.
 
 The distinct fragments of a chunk of texts take their transitions together, a
@@ -29,8 +29,8 @@ import hashlib
 import json
 import pickle
 import unicodedata
+import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{
 WHITE = regex.compile(r"\p{White_Space}+")
 CONTROLS = regex.compile(r"[\x1c-\x1f]")
 #: States beyond the compiled ones that a worker keeps, characters of text taken at once.
-TABLE, CHUNK_CHARS = 120_000, 1_000_000
+TABLE, CHUNK_CHARS = 80_000, 700_000
 #: Longer words are walked one by one: a numpy step a byte pays for many words only.
 LONG = 128
 
@@ -156,6 +156,17 @@ class TokenAutomaton:
         self.compiled = (*self.step.items(), *self.last.items())
         self.may, self.edges = {}, {}
 
+    def __getstate__(self) -> dict:
+        """Without what ``__setstate__`` makes from the rest."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("number", "step", "last")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.number = {s: i for i, s in enumerate(self.states)}
+        self.step, self.last = Cells(), Cells()
+        self.step.load(*self.compiled[:2], 16)
+        self.last.load(*self.compiled[2:], 16)
+
     def _plant(self, spelled: dict[int, bytes], closing: set[int]) -> None:
         """The trie of the labels that a path can hold: children, arcs and closing arcs of each node."""
         self.children: list[dict[int, int] | None] = [{}]
@@ -457,10 +468,21 @@ def chunks(texts: Iterable[str | None], most: int | None = None) -> Iterator[lis
 _COMPILED: dict[bytes, TokenAutomaton] = {}
 
 
-@lru_cache(maxsize=2)
-def compile_vocabulary(vocabulary: str) -> bytes:
-    """The automaton of a vocabulary file's text, compiled once on the driver, as workers get it."""
-    return pickle.dumps(TokenAutomaton(vocabulary), pickle.HIGHEST_PROTOCOL)
+_TABLES: dict[tuple[str, str], bytes] = {}
+
+
+def compile_vocabulary(spark: SparkSession, vocabulary: str) -> bytes:
+    """The automaton of a vocabulary file's text as workers get it, compiled once per application, in one task: the driver holds the result alone."""
+    key = (spark.sparkContext.applicationId, hashlib.sha256(vocabulary.encode("utf-8", "surrogatepass")).hexdigest())
+    if key not in _TABLES:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(TokenAutomaton(vocabulary), pickle.HIGHEST_PROTOCOL), 1)], pa.binary())], ["tables"])
+
+        _TABLES.clear()
+        _TABLES[key] = bytes(spark.range(1, numPartitions=1).mapInArrow(run, "tables binary").first()[0])
+    return _TABLES[key]
 
 
 def loaded(tables: bytes) -> TokenAutomaton:
@@ -468,7 +490,7 @@ def loaded(tables: bytes) -> TokenAutomaton:
     key = hashlib.sha256(tables).digest()
     if key not in _COMPILED:
         _COMPILED.clear()
-        _COMPILED[key] = pickle.loads(tables)
+        _COMPILED[key] = pickle.loads(zlib.decompress(tables))
     return _COMPILED[key]
 
 
@@ -483,7 +505,7 @@ def load_vocabulary(path: str | None = None) -> str:
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
-    tables = compile_vocabulary(vocabulary)
+    tables = compile_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = loaded(tables)

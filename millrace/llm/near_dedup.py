@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import Forest, components
-from ._shared import WordHashes, lower_words, materialize, maybe_broadcast, mix, read_table, spread_join
+from ._shared import WordHashes, lookup_join, lower_words, materialize, maybe_broadcast, mix, read_table, spread_join
 
 WORDS, THRESHOLD = 5, 85
 TREES, DEPTH, MIN_DEPTH = 16, 8, 6
@@ -310,7 +310,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, threshold: int
     sizes = materialize(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles_all")), "cluster-sizes")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(8 * F.col("shingles_all") / BLOCK_BYTES)).cast("long").alias("blocks")
     n_members = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    sized = spread_join(members, sizes.select("cluster", blocks, "size"), ["cluster"], F.col("doc_id"), "size", n_members).select("doc_id", "cluster", "blocks")
+    sized = lookup_join(members, sizes.select("cluster", blocks, "size"), ["cluster"], F.col("doc_id"), "size", n_members).select("doc_id", "cluster", "blocks")
     sets = materialize(_sets(docs, sized, words).dropDuplicates(["doc_id"]), "sets")
 
     def grouped(frame: DataFrame, *by) -> DataFrame:
@@ -327,7 +327,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, threshold: int
     hubs = labelled.groupBy("cluster", "component", "blocks").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max_by("doc_id", F.xxhash64("doc_id")).alias("c"), F.count(F.lit(1)).alias("members"))
     hubs = hubs.select("cluster", "component", "blocks", "members", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("doc_id"))
     n_hubs = materialize(hubs.groupBy("cluster").agg(F.count(F.lit(1)).alias("hubs")), "hubs")
-    dealt = spread_join(hubs, n_hubs.select("cluster", F.col("hubs").alias("in_cluster"), "hubs"), ["cluster"], F.col("doc_id"), "hubs", 3 * n_large).select("doc_id", "component", F.ceil(F.col("in_cluster") / BLOCK).cast("long").alias("hub_blocks"), F.col("blocks").alias("_all"))
+    dealt = lookup_join(hubs, n_hubs.select("cluster", F.col("hubs").alias("in_cluster"), "hubs"), ["cluster"], F.col("doc_id"), "hubs", 3 * n_large).select("doc_id", "component", F.ceil(F.col("in_cluster") / BLOCK).cast("long").alias("hub_blocks"), F.col("blocks").alias("_all"))
     hub_blocks = F.least(F.greatest("hub_blocks", F.lit(1)), F.col("_all"))  # as many bytes a block as in ``blocks``
     hub_rows = large.join(dealt, "doc_id").withColumn("probe", F.lit(True))
     more = materialize(confirm(grouped(hub_rows, F.pmod(F.xxhash64("component", F.lit(1)), hub_blocks)), threshold), "links")
@@ -339,7 +339,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, threshold: int
     open_ = materialize(largest.filter("total > most").withColumn("rows", F.col("total")), "open-clusters")
     if not open_.limit(1).count():
         return links
-    split = spread_join(labelled2.select("doc_id", "component", "cluster", "blocks"), open_, ["cluster"], F.col("doc_id"), "rows", n_large)
+    split = lookup_join(labelled2.select("doc_id", "component", "cluster", "blocks"), open_, ["cluster"], F.col("doc_id"), "rows", n_large)
     split = materialize(split.filter("largest is not null").withColumn("probe", F.col("component") != F.col("largest")), "open-members")
     per_block = F.ceil(F.col("total") / F.col("blocks"))
     tiles_q = F.ceil((F.col("total") - F.col("most")) / per_block).cast("long")

@@ -280,7 +280,7 @@ def runs(patterns: list[Pattern]) -> np.ndarray:
 def cut(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
     """Pieces with their digest, the task that made them and their place among its pieces of that length."""
 
-    tables, close = compile_vocabulary(vocabulary), CLOSE.to_bytes(4, "little")
+    tables, close = compile_vocabulary(docs.sparkSession, vocabulary), CLOSE.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, task = loaded(tables), TaskContext.get().partitionId()
