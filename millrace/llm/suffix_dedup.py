@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BUCKET_MB, input_mb, materialize, maybe_broadcast, mix, read_table, release
+from ._shared import BUCKET_MB, input_mb, materialize, maybe_broadcast, mix, read_table, release, spread_join
 
 SIZE, GRAM = 100, 48
 #: An anchor is hot from so many places on, or so many a MB of input if that is more:
@@ -434,8 +434,11 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     mb = input_mb(docs)
     seen = materialize(prints(docs), "texts")
-    firsts = seen.groupBy("text_sha256").agg(F.min("doc_id").alias("first"))
-    texts = materialize(seen.join(firsts, "text_sha256").select("doc_id", "n_bytes", "text_sha256", (F.col("doc_id") > F.col("first")).alias("copy")), "first-texts")
+    firsts = materialize(seen.groupBy("text_sha256").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "first-ids")
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = spread_join(seen, firsts, ["text_sha256"], F.col("doc_id"), "n", total)
+    texts = materialize(dealt.select("doc_id", "n_bytes", "text_sha256", (F.col("doc_id") > F.col("first")).alias("copy")), "first-texts")
+    release(firsts)
     release(seen)
     copies = texts.filter("copy").select("doc_id").distinct()
     own = docs.join(maybe_broadcast(copies), "doc_id", "left_anti")
