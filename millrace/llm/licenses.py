@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ._shared import read_table
 
-#: Paragraphs of documents that training sees as other text, at most; n-grams taught, at most.
-BACKGROUND_ROWS, MAX_FEATURES = 2000, 4000
+#: Paragraphs that training sees as other text, at most; documents they come from, about; n-grams taught, at most.
+BACKGROUND_ROWS, SAMPLE_DOCS, MAX_FEATURES = 2000, 4000, 4000
 SEED, VARIANTS, ROUNDS, NGRAMS = 8, 40, 250, 3
 CONFIRM, SURE = 0.5, 0.5
 WORD = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]")
@@ -213,8 +213,11 @@ def train(background: list[str], seed: int = SEED) -> Classifier:
 
 
 def background_of(docs: DataFrame, rows: int = BACKGROUND_ROWS) -> list[str]:
-    """The paragraphs of smallest hash that name no licence: a bounded sample, the same at every run."""
-    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).filter("length(line) between 10 and 400")
+    """The paragraphs of smallest hash that name no licence, from about SAMPLE_DOCS documents of smallest hash: a bounded sample, the same at every run."""
+    n_docs = docs.count()
+    bound = int(2**64 * min(1.0, SAMPLE_DOCS / max(n_docs, 1))) - 2**63  # hashes range from -2**63 on
+    some = docs.filter(F.xxhash64("text") <= F.lit(bound)) if n_docs > SAMPLE_DOCS else docs
+    lines = some.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).filter("length(line) between 10 and 400")
     plain = lines.filter(~F.lower("line").rlike("licen[sc]e|copyright|permission|redistribut|spdx|rights reserved|creative commons"))
     return [r[0] for r in plain.select("line").orderBy(F.xxhash64("line"), "line").limit(rows).collect()]
 
