@@ -184,6 +184,51 @@ def test_packing(docs, none, automaton):
     assert packing.pack(none, bpe.load_vocabulary()).count() == 0
 
 
+def test_near_dedup_in_a_dense_region(spark):
+    """Texts that all share a passage (cross similarity 0.68), each with one near copy: links found, and no work by all pairs of the region."""
+    import time
+
+    r = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(243))
+    texts = []
+    for i in range(500):
+        own = [f"u{i}x{j}" for j in range(57)]
+        texts += [passage + " " + " ".join(own), passage + " " + " ".join([*own[:-1], "edit"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = table(near_dedup.near_dedup(df))["component_id"].tolist()
+    found = sum(got[i + 1] == i for i in range(0, len(texts), 2))
+    assert found >= 0.99 * 500 and all(c in (i, i - 1) for i, c in enumerate(got)) and time.time() - began < 120
+
+
+@pytest.mark.parametrize("small", [50_000, 0])
+def test_components_of_hubs_and_paths(spark, monkeypatch, small):
+    from millrace.llm import _graph, _shared
+
+    monkeypatch.setattr(_shared, "SMALL_ROWS", small)
+    monkeypatch.setattr(_shared, "HOT_ROWS", 20)
+    edges = [(5, i) for i in range(6, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 1000), (2000, 2001), (3, 3)]
+    got = dict(map(tuple, _graph.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()))
+    want = {i: 5 for i in [*range(5, 300), *range(1000, 1041)]} | {2000: 2000, 2001: 2000}
+    assert got == want
+
+
+def test_near_dedup_odd_rows(spark, monkeypatch):
+    """Rows without doc_id, repeated rows, hot prints, ties, clashing columns, one very long text."""
+    from millrace.llm import _shared
+
+    monkeypatch.setattr(_shared, "HOT_ROWS", 3)
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(i, "one two three four five six", 1) for i in range(9)] + [(None, "one two three four five six", 2), (None, None, 3), (20, long, 4), (21, long + " end", 5), (22, "x", 6), (22, "x", 6), (23, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, print int").withColumn("cluster", F.lit("c"))
+    got = {(x.doc_id, x.component_id, x.kept) for x in near_dedup.near_dedup(df).collect()}
+    assert got == {(i, 0, i == 0) for i in range(9)} | {(None, None, True), (20, 20, True), (21, 20, False), (22, 22, True), (23, 23, True)}
+    kept = near_dedup.keep_first(df)
+    assert kept.columns == df.columns and sorted(x.print for x in kept.collect()) == [1, 2, 3, 4, 6, 6, 7]
+    with pytest.raises(TypeError):
+        near_dedup.near_dedup(df.withColumn("doc_id", F.lit("a")))
+
+
 def test_near_dedup_against_all_pairs(spark, docs, none):
     r = random.Random(4)
     words = [f"w{i}" for i in range(400)]
