@@ -91,8 +91,7 @@ def _(rule, f, ctx):
 
 @check("unique")
 def _(rule, f, ctx):
-    x = next(iter(f.values()))
-    return x.isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy(x)) > 1)
+    return ctx["flagged"].isNotNull()
 
 
 @check("iso_date")
@@ -137,10 +136,7 @@ def _(rule, f, ctx):
 
 @check("balanced")
 def _(rule, f, ctx):
-    txn, debit, credit = (f[k] for k in rule.fields)
-    w = Window.partitionBy(txn)
-    total = lambda x: F.sum(F.coalesce(X.number(x), F.lit(0.0))).over(w)
-    return txn.isNotNull() & (F.abs(total(debit) - total(credit)) > rule.params["tolerance"])
+    return ctx["flagged"].isNotNull()
 
 
 @check("not_both_sided")
@@ -213,7 +209,7 @@ def _(rule, f, ctx):
 @check("rising")
 def _(rule, f, ctx):
     trip, seq = f[rule.fields[0]], X.number(f[rule.fields[1]])
-    w = Window.partitionBy(trip).orderBy(ctx["rid"]).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(trip, F.when(trip.isNull(), ctx["rid"])).orderBy(ctx["rid"]).rowsBetween(Window.unboundedPreceding, -1)
     return trip.isNotNull() & (seq <= F.last(seq, True).over(w))
 
 
@@ -366,6 +362,14 @@ def _(rule, f, ctx):
     return F.lit(False) if kind is None else (F.lower(F.trim(kind.cast("string"))) == "single") & ((n < 1) | (n > 3))
 
 
+# -- rules over groups: the keys that violate them, from one grouped aggregate
+
+GROUPS: dict[str, Callable[[Rule, Fields], Column]] = {
+    "unique": lambda rule, f: F.count(F.lit(1)) > 1,
+    "balanced": lambda rule, f: F.abs(F.sum(F.coalesce(X.number(f[rule.fields[1]]), F.lit(0.0))) - F.sum(F.coalesce(X.number(f[rule.fields[2]]), F.lit(0.0)))) > rule.params["tolerance"],
+}
+
+
 # -- repairs: the new value of the rule's first field, null to leave it -------
 
 REPAIRS: dict[str, Callable[[Rule, Column], Column]] = {}

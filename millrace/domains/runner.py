@@ -16,7 +16,7 @@ from ..cleaner import run_pipeline, to_spark
 from ..config import CleanConfig, make_config
 from ..plans.repair import RID, c, data_columns, with_rid
 from ..report import CleanReport
-from .checks import CHECKS, NEEDS_ALL, REPAIRS
+from .checks import CHECKS, GROUPS, NEEDS_ALL, REPAIRS
 from .packs import HEALTHCARE, LAYERS, MEDIA, SIGNALS, SINGLE, TRANSPORT, Pack, Rule
 
 WEIGHTS = {"error": 1.0, "warning": 0.25, "info": 0.05}
@@ -137,6 +137,11 @@ def validate(df, pack: Pack, *, column_map: dict[str, str] | None = None, siblin
             df = df.join(keys, c(mapping[rule.fields[0]]) == F.col("_key"), "left").drop("_key").withColumnRenamed("_found", f"_in_{rule.id}")
             predicates[rule.id] = here[rule.fields[0]].isNotNull() & F.col(f"_in_{rule.id}").isNull()
         elif here:
+            if rule.check in GROUPS:  # the keys meet the rows again by a join, which deals hot keys; null keys are in no group
+                key, flag = here[rule.fields[0]], f"_in_{rule.id}"
+                keys = df.filter(key.isNotNull()).groupBy(key.alias("_key")).agg(GROUPS[rule.check](rule, here).alias(flag)).filter(c(flag)).select("_key", c(flag))
+                df = df.join(keys, key == F.col("_key"), "left").drop("_key")
+                ctx["flagged"] = c(flag)
             predicates[rule.id] = CHECKS[rule.check](rule, here, ctx)
     checked = df.withColumns({f"_v_{i}": F.coalesce(p, F.lit(False)) for i, p in enumerate(predicates.values())}) if predicates else df
     counts = checked.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(f"_v_{i}").alias(f"v{i}") for i in range(len(predicates)))).first()

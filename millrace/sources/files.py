@@ -17,11 +17,15 @@ def format_of(path: str, given: str | None = None) -> str:
     return "parquet"
 
 
+def _separator(path: str) -> str:
+    return "\t" if path.rstrip("/").lower().removesuffix(".gz").endswith(".tsv") else ","
+
+
 def read_table(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
     """CSV cells are read as text: cleaning decides their types. Arrow files come in through the driver."""
     kind = format_of(path, format)
     if kind == "csv":
-        return spark.read.options(header=True, inferSchema=False, sep="\t" if path.endswith(".tsv") else ",", **options).csv(path)
+        return spark.read.options(header=True, inferSchema=False, sep=_separator(path), **options).csv(path)
     if kind in ("json", "jsonl"):
         return spark.read.options(multiLine=kind == "json", **options).json(path)
     if kind == "arrow":
@@ -34,7 +38,7 @@ def read_table(spark: SparkSession, path: str, format: str | None = None, **opti
 def write_table(df: DataFrame, path: str, format: str | None = None, mode: str = "overwrite") -> None:
     kind = format_of(path, format)
     if kind == "csv":
-        df.write.mode(mode).option("header", True).csv(path)
+        df.write.mode(mode).options(header=True, sep=_separator(path)).csv(path)
     else:
         df.write.mode(mode).format("json" if kind in ("json", "jsonl") else kind).save(path)
 
