@@ -37,7 +37,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import read_table
+from ._shared import read_table, trimmed
 
 END = "</w>"
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -481,7 +481,7 @@ def compile_vocabulary(spark: SparkSession, vocabulary: str) -> bytes:
                 yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(TokenAutomaton(vocabulary), pickle.HIGHEST_PROTOCOL), 1)], pa.binary())], ["tables"])
 
         _TABLES.clear()
-        _TABLES[key] = bytes(spark.range(1, numPartitions=1).mapInArrow(run, "tables binary").first()[0])
+        _TABLES[key] = bytes(spark.range(1, numPartitions=1).mapInArrow(trimmed(run), "tables binary").first()[0])
     return _TABLES[key]
 
 
@@ -530,7 +530,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

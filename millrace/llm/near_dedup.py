@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import Forest, components
-from ._shared import WordHashes, lookup_join, lower_words, materialize, maybe_broadcast, mix, read_table, spread_join
+from ._shared import WordHashes, lookup_join, lower_words, materialize, maybe_broadcast, mix, read_table, spread_join, trimmed
 
 WORDS, THRESHOLD = 5, 85
 TREES, DEPTH, MIN_DEPTH = 16, 8, 6
@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError("near-dedup needs an integer doc_id")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, n_shingles long, print binary, sketch binary")
 
 
 def forest_edges(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -176,8 +176,8 @@ def forest_edges(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             yield out.select(["a", "b"]).filter(out.column("a").is_valid())
 
     least = least_depth(threshold)
-    rows = classes.select("rep", "sketch").mapInArrow(grow, "tree int, key binary, rep long, low binary")
-    linked = rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep").mapInArrow(link, "a long, b long, tree int, key binary, rep long, low binary")
+    rows = classes.select("rep", "sketch").mapInArrow(trimmed(grow), "tree int, key binary, rep long, low binary")
+    linked = rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep").mapInArrow(trimmed(link), "a long, b long, tree int, key binary, rep long, low binary")
     linked = materialize(linked, "forest")
     borders = linked.filter("a is null").select("tree", "key", "rep", "low").repartition("tree").sortWithinPartitions("tree", "key", "rep").mapInArrow(meet, "a long, b long")
     return linked.filter("a is not null").select("a", "b").union(borders)
@@ -295,7 +295,7 @@ def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("cluster"), batch.column("blocks"), pa.array(found, pa.binary())], ["doc_id", "cluster", "blocks", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(maybe_broadcast(members), "doc_id").select("doc_id", "text", "cluster", "blocks")
-    return rows.mapInArrow(run, "doc_id long, cluster long, blocks long, shingles binary")
+    return rows.mapInArrow(trimmed(run), "doc_id long, cluster long, blocks long, shingles binary")
 
 
 def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import materialize, read_table
+from ._shared import materialize, read_table, trimmed
 from .bpe import compile_vocabulary, load_vocabulary, loaded
 
 SIZE, CLOSE = 2048, 0
@@ -126,31 +126,39 @@ def dominated(taken: tuple[int, ...], waste: int, unused: int) -> bool:
     return bool((smeared(many, waste) | (smeared(one, waste - 1) << 1 if waste else 0) | (smeared(1, waste) & ~1)) & unused)
 
 
-def fillings(counts: dict[int, int], room: int, budget: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """(waste, lengths) of every undominated way to fill ``room``, large lengths first, while the budget lasts."""
-    lengths = sorted((k for k, n in counts.items() if n and k <= room), reverse=True)
-    if counts.get(room):
+def fillings(counts: dict[int, int], room: int, budget: list[int], top: int = 0, lengths: list[int] | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, lengths) of every undominated way to fill ``room``, large lengths first, while the budget lasts.
+
+    ``lengths`` are all lengths, falling; one of ``top`` is not to be had. The
+    counts are read as they are: between two results they must be put back.
+    """
+    lengths = sorted(counts, reverse=True) if lengths is None else lengths
+    have = lambda x: counts.get(x, 0) - (x == top)
+    if have(room) > 0:
         yield 0, (room,)  # dominates all others
         return
     unused = 0
-    for x in lengths:
-        unused |= 1 << x
+    for x in lengths[bisect_left(lengths, -room, key=lambda x: -x) :]:
+        if have(x) > 0:
+            unused |= 1 << x
     stack: list[tuple[tuple[int, ...], int, int]] = [((), room, 0)]  # taken, room left, first length that may be taken
     while stack and budget[0] > 0:
         budget[0] -= 1
         taken, left, at = stack.pop()
         at = bisect_left(lengths, -left, lo=at, key=lambda x: -x)  # the first that fits
+        while at < len(lengths) and have(lengths[at]) <= 0:
+            at += 1
         if at == len(lengths):
             now = unused
             for x in set(taken):
-                if taken.count(x) == counts[x]:
+                if taken.count(x) == have(x):
                     now &= ~(1 << x)
             if not dominated(taken, left, now):
                 yield left, taken
             continue
         x = lengths[at]
         stack.append((taken, left, at + 1))  # without a further x
-        if taken.count(x) < counts[x]:
+        if taken.count(x) < have(x):
             stack.append(((*taken, x), left - x, at))
 
 
@@ -171,18 +179,16 @@ def lower_bound(histogram: dict[int, int], size: int) -> int:
 def complete(histogram: dict[int, int], size: int, best: list[Pattern], bound: int, steps: int) -> list[Pattern]:
     """The best result that bin completion finds within ``steps``: ``best`` or one with fewer sequences."""
     total = sum(k * n for k, n in histogram.items())
-    left, budget = dict(histogram), [steps]
+    left, budget = dict(histogram), [steps]  # changed in place on the way down, put back on the way up
+    lengths = sorted(histogram, reverse=True)
     done: list[Pattern] = []
 
     def options() -> Iterator[Pattern]:
         """What may come next: each filling around the largest length, as often as it can be had and then fewer times."""
-        top = max((k for k, n in left.items() if n), default=0)
+        top = next((k for k in lengths if left[k]), 0)
         if not top:
             return
-        left[top] -= 1
-        found = fillings(dict(left), size - top, budget)
-        left[top] += 1
-        for _, f in found:
+        for _, f in fillings(left, size - top, budget, top, lengths):
             items = (top, *f)
             most = min(left[x] // items.count(x) for x in set(items))
             times = most
@@ -303,7 +309,7 @@ def cut(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long")
 
 
 def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, steps: int = STEPS) -> DataFrame:
