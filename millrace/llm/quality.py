@@ -5,9 +5,10 @@ each measure is built. The fence of a measure is its upper (lower) quartile plus
 (minus) SPREADS times the quartile spread of the group; no fixed cutoff stands in
 for it. The quartiles of a group of n documents are drawn toward those of its
 language with weight PRIOR / (n + PRIOR), and those toward all documents alike, so
-small groups borrow smoothly. Counts (symbols, repeated lines, repeated words)
-are held against the fence of their share with an allowance for chance: a count
-fails beyond share * size + NOISE * sqrt(unit * share * size) + NOISE**2 * unit,
+small groups borrow smoothly. Counts (symbols, repeated lines, repeated words,
+characters in words) are held against the fence of their share with an allowance
+for chance: a count fails beyond
+share * size + NOISE * sqrt(unit * share * size) + NOISE**2 * unit,
 so that where a group's quartiles are zero a single repeated line is no reason.
 Fixed base rules (too few words, too much repetition) apply first.
 
@@ -42,6 +43,8 @@ MIN_WORDS, MAX_REPEATS, WINDOW = 20, 30, 8
 PRIOR = 200
 #: Quartile spreads beyond the quartile at which a document fails, allowance for chance, sketch size.
 SPREADS, NOISE, SKETCH_K = 5.0, 3.0, 400
+#: Least quartile spread of the word length, as a share of it: copies of one text may fill both quartiles.
+LEAST_SPREAD = 0.05
 #: Counts: what they are a share of, and the least that one occurrence adds (a repeated window is two windows).
 COUNTS = {"n_symbols": ("n_words", 1), "n_dup_lines": ("n_lines", 1), "n_repeat_words": ("n_words", 2 * WINDOW)}
 MEASURES = ("n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -140,7 +143,8 @@ def thresholds(measured: DataFrame) -> DataFrame:
     drawn = lambda value, n, prior: F.when(F.coalesce(n, F.lit(0)) > 0, (value * n + PRIOR * prior) / (n + PRIOR)).otherwise(prior)
     at = lambda m, q: drawn(F.col(f"own_{m}_{q}"), F.col("n"), drawn(F.col(f"lang_{m}_{q}"), F.col("_lang_n"), F.col(f"all_{m}_{q}")))
     quarters = both.select("grp", "rows", *(at(m, q).alias(f"{m}_{q}") for m in cols for q in "13"))
-    spread = lambda m: SPREADS * (F.col(f"{m}_3") - F.col(f"{m}_1"))
+    least = {"word_length": LEAST_SPREAD}
+    spread = lambda m: SPREADS * F.greatest(F.col(f"{m}_3") - F.col(f"{m}_1"), least.get(m, 0.0) * F.col(f"{m}_3"))
     out = quarters.select("grp", "rows", *((F.col(f"{m}_3") + spread(m)).alias(f"{m}_high") for m in cols), *((F.col(f"{m}_1") - spread(m)).alias(f"{m}_low") for m in cols))
     return materialize(out, "quality-thresholds")  # one row per (lang, source)
 
@@ -151,8 +155,9 @@ def odd() -> Column:
     for k, (of, unit) in COUNTS.items():
         usual = F.greatest(F.col(f"{k}_high"), F.lit(0.0)) * F.col(of)
         tests.append(F.col(k) > usual + NOISE * F.sqrt(unit * usual) + NOISE**2 * unit)
-    length = shares()["word_length"]
-    tests += [length > F.col("word_length_high"), length < F.col("word_length_low")]
+    for name, sign in (("word_length_high", 1), ("word_length_low", -1)):
+        usual = F.greatest(F.col(name), F.lit(0.0)) * F.col("n_words")
+        tests.append(sign * (F.col("word_chars") - usual) > NOISE * F.sqrt(usual) + NOISE**2)
     return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
