@@ -18,7 +18,7 @@ BROADCAST_ROWS = 200_000
 #: The same for tables that are read again and again: about 1 MB.
 SMALL_ROWS = 50_000
 #: Target MB of packed data that one reducing task holds.
-BUCKET_MB = 24
+BUCKET_MB, TASK_MB = 24, 64
 #: Tasks over which the rows of a hot key are dealt. A key is hot if it has over
 #: HOT_ROWS rows and over 1/HOT_SHARE of all rows: HOT_SHARE keys at most.
 SALTS, HOT_ROWS, HOT_SHARE = 64, 1000, 10_000
@@ -117,6 +117,12 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], deal: Column
     return spread_join(rows, table, keys, deal, n, total)
 
 
+def spread_out(df: DataFrame, mb: float, *by: str) -> DataFrame:
+    """``df`` dealt by ``by`` to tasks of about TASK_MB where ``mb`` needs more of them than the session's shuffle partitions; else as it is."""
+    n = int(mb / TASK_MB)
+    return df.repartition(n, *by) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint after a size check; without the hint Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, input_mb, lower_words, materialize, mix, read_table, release
+from ._shared import WordHashes, input_mb, lower_words, materialize, mix, read_table, release, spread_out, trimmed
 
 #: Frequent words and pairs that are broadcast, at most; all others are joined by bucket.
 VOCABULARY, MAX_NGRAMS = 60_000, 2_000_000
@@ -160,8 +160,8 @@ def count_words(docs: DataFrame, mb: float) -> DataFrame:
         steps = np.bincount((8 * np.log2(total)).astype(int), minlength=512)[:512]
         return pd.DataFrame([(key[0], h.tobytes(), total.tobytes(), seen.tobytes(), int(seen.sum()), int((seen > 0).sum()), int(seen[h == END].sum()), steps.tolist())], columns=["bucket", "a", "b", "c", "n", "v", "ends", "steps"])
 
-    packed = docs.select("doc_id", "text").mapInArrow(run, PACKED)
-    return packed.groupBy("bucket").applyInPandas(merge, "bucket int, a binary, b binary, c binary, n long, v long, ends long, steps array<long>")
+    packed = docs.select("doc_id", "text").mapInArrow(trimmed(run), PACKED)
+    return spread_out(packed, 0.6 * mb, "bucket").groupBy("bucket").applyInPandas(merge, "bucket int, a binary, b binary, c binary, n long, v long, ends long, steps array<long>")
 
 
 class Head(NamedTuple):
@@ -235,7 +235,7 @@ def exchange(docs: DataFrame, head: Head, mb: float) -> DataFrame:
             for row in _packed(_bucket_of(h, n_rare), h, state):
                 yield _batch("arc", row)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), PACKED)
 
 
 def rare_arcs(packed: DataFrame, mb: float) -> DataFrame:
@@ -253,7 +253,7 @@ def rare_arcs(packed: DataFrame, mb: float) -> DataFrame:
         arcs = _packed(_bucket_of(before, n_rare), before, h, count[np.searchsorted(words, h)])
         return pd.concat([_frame("types", [(0, state.tobytes(), n.astype(np.int64).tobytes())]), _frame("arc", arcs)])
 
-    return packed.filter("kind in ('tail', 'arc')").groupBy("bucket").applyInPandas(merge, PACKED)
+    return spread_out(packed.filter("kind in ('tail', 'arc')"), mb, "bucket").groupBy("bucket").applyInPandas(merge, PACKED)
 
 
 def types_of(*parts: DataFrame) -> np.ndarray:
@@ -389,7 +389,7 @@ def route(docs: DataFrame, head: Head, automaton: Automaton, mb: float) -> DataF
                 yield _batch("state", row)
 
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    return rows.mapInArrow(run, PACKED)
+    return rows.mapInArrow(trimmed(run), PACKED)
 
 
 def _seen(n: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -455,10 +455,10 @@ def bucket_sums(routed: DataFrame, arcs: DataFrame, head: Head, automaton: Autom
         return _frame("sum", _packed(_bucket_of(mix(rows.view(np.uint64)), n_docs), *columns))
 
     together = routed.unionByName(arcs.filter("kind = 'arc'")).withColumn("part", F.when(F.col("kind") == "arc", "state").otherwise(F.col("kind")))
-    return together.groupBy("part", "bucket").applyInPandas(merge, PACKED)
+    return spread_out(together, 2 * mb, "part", "bucket").groupBy("part", "bucket").applyInPandas(merge, PACKED)
 
 
-def row_sums(sums: DataFrame, head: Head) -> DataFrame:
+def row_sums(sums: DataFrame, head: Head, mb: float) -> DataFrame:
     """The rows with all that was added to them."""
     norm = float(np.log10(head.tokens + 0.5 * (head.types + 1)))
 
@@ -474,7 +474,7 @@ def row_sums(sums: DataFrame, head: Head) -> DataFrame:
         known = total(full, "d", np.int32).astype(np.int64)
         return pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": n, "n_known": known, "base_score": base, "score": base + total(both, "b", np.float64)})
 
-    return sums.groupBy("bucket").applyInPandas(merge, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return spread_out(sums, mb, "bucket").groupBy("bucket").applyInPandas(merge, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame, vocabulary: int = VOCABULARY, max_ngrams: int = MAX_NGRAMS) -> DataFrame:
@@ -490,7 +490,7 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, max_ngrams: int = MAX_N
     automaton = build(packed, arcs, head, n_train=n_train, max_ngrams=max_ngrams)
     release(packed)
     sums = bucket_sums(route(docs, head, automaton, mb), arcs, head, automaton, mb)
-    return row_sums(sums, head).withColumn("train_tokens", F.lit(head.tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return row_sums(sums, head, mb).withColumn("train_tokens", F.lit(head.tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

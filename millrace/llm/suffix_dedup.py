@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BUCKET_MB, input_mb, materialize, maybe_broadcast, mix, read_table, release, spread_join
+from ._shared import BUCKET_MB, input_mb, materialize, maybe_broadcast, mix, read_table, release, spread_join, spread_out, trimmed
 
 SIZE, GRAM = 100, 48
 #: An anchor is hot from so many places on, or so many a MB of input if that is more:
@@ -142,7 +142,7 @@ def _deal(keys: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple]:
         yield (int(b), *(c[order[lo:hi]].tobytes() for c in columns))
 
 
-def repeated_anchors(docs: DataFrame, n_buckets: int, hot: int, size: int, gram: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, n_buckets: int, hot: int, size: int, gram: int, mb: float) -> DataFrame:
     """doc_id and packed places of the anchors whose hash comes twice or more; in rows of doc_id -1, the hot hashes.
 
     A hash that comes more than once in a batch sends its count alone, so a
@@ -188,8 +188,8 @@ def repeated_anchors(docs: DataFrame, n_buckets: int, hot: int, size: int, gram:
         for pdf in frames:
             yield by_doc(np.frombuffer(b"".join(pdf["doc"]), np.int64), np.frombuffer(b"".join(pdf["place"]), np.uint32))
 
-    packed = materialize(docs.mapInArrow(emit, "bucket int, h binary, doc binary, place binary, n binary"), "packed-anchors")
-    out = packed.filter("bucket >= 0").groupBy("bucket").applyInPandas(meet, "doc_id long, places binary").union(packed.filter("bucket < 0").mapInPandas(local, "doc_id long, places binary"))
+    packed = materialize(docs.mapInArrow(trimmed(emit), "bucket int, h binary, doc binary, place binary, n binary"), "packed-anchors")
+    out = spread_out(packed.filter("bucket >= 0"), mb, "bucket").groupBy("bucket").applyInPandas(meet, "doc_id long, places binary").union(packed.filter("bucket < 0").mapInPandas(local, "doc_id long, places binary"))
     out = materialize(out, "anchors")
     release(packed)
     return out
@@ -273,7 +273,7 @@ def stretches(docs: DataFrame, anchors: DataFrame, hot: np.ndarray, n_buckets: i
 
     grouped = anchors.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     rows = docs.join(grouped.hint("merge"), "doc_id").select("doc_id", "text", "places")
-    return rows.mapInArrow(run, CUTS)
+    return rows.mapInArrow(trimmed(run), CUTS)
 
 
 def suffix_order(text: bytes, starts: list[int], ends: list[int], size: int) -> list[int]:
@@ -347,7 +347,7 @@ def later_windows(text: bytes, starts: list[int], ends: list[int], at: np.ndarra
     return out
 
 
-def sorted_cuts(packed: DataFrame, size: int) -> DataFrame:
+def sorted_cuts(packed: DataFrame, size: int, mb: float) -> DataFrame:
     """Per bucket: merge equal stretches, sort the suffixes, emit the later windows (doc_id, packed starts)."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -379,7 +379,7 @@ def sorted_cuts(packed: DataFrame, size: int) -> DataFrame:
         doc, start, owned = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("doc", np.int64), ("start", np.int64), ("owned", np.int32)))
         return _by_doc(np.repeat(doc, owned), np.concatenate([np.arange(s, s + o) for s, o in zip(start.tolist(), owned.tolist())]))
 
-    sorted_ = packed.filter("bucket >= 0").groupBy("bucket").applyInPandas(run, "doc_id long, starts binary")
+    sorted_ = spread_out(packed.filter("bucket >= 0"), mb, "bucket").groupBy("bucket").applyInPandas(run, "doc_id long, starts binary")
     at_once = packed.filter("bucket < 0").withColumn("part", F.spark_partition_id()).mapInPandas(lambda frames: (early(None, f) for f in frames if len(f)), "doc_id long, starts binary")
     return sorted_.union(at_once)
 
@@ -442,11 +442,11 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFra
     release(seen)
     copies = texts.filter("copy").select("doc_id").distinct()
     own = docs.join(maybe_broadcast(copies), "doc_id", "left_anti")
-    anchors = repeated_anchors(own, max(24, int(1.5 * mb / BUCKET_MB) + 1), max(HOT, int(HOT_PER_MB * mb)), size, gram)
+    anchors = repeated_anchors(own, max(24, int(1.5 * mb / BUCKET_MB) + 1), max(HOT, int(HOT_PER_MB * mb)), size, gram, mb)
     heavy = [np.frombuffer(r[0], np.uint64) for r in anchors.filter("doc_id < 0 and length(places) > 0").select("places").collect()]
     hot = np.unique(np.concatenate(heavy)) if heavy else np.zeros(0, np.uint64)
     packed = materialize(stretches(own, anchors.filter("doc_id >= 0"), hot, max(48, int(2 * mb) + 1), size, gram), "stretches")
-    cuts = materialize(sorted_cuts(packed, size), "cuts")
+    cuts = materialize(sorted_cuts(packed, size, mb), "cuts")
     release(anchors, packed)
     done = materialize(cut_texts(own, cuts, size).dropDuplicates(["doc_id"]), "cut-texts")
     release(cuts)
