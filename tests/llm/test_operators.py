@@ -487,3 +487,151 @@ def test_pipeline_runs_whole(spark):
         pytest.skip("needs the driver's tables")
     out = corpus_pipeline.run(spark, d).toPandas()
     assert out.groupby("sequence_id").length.sum().max() <= packing.SIZE and out.doc_id.nunique() > 100
+
+
+# -- odd rows, for the operators that the tests above don't cover --------------
+
+
+LONG = "lorem ipsum dolor sit amet " * 200_000  # over 5 MB
+
+
+def test_pii_odd_rows(spark):
+    rows = [(1, "a@b.co", "x", 1), (1, "a@b.co", "x", 1), (None, "mail a@b.co now", None, 2), (3, None, "y", 3), (4, LONG + "end a@b.co", "z", 4), (5, "@ @@ a@ @b.c 1.2.3 999.1.1.1 +12", "z", 5), (6, "https://user:pass@host.example/x y@z.org", "z", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_email int")
+    got = {}
+    for r in pii.scan(df).collect():
+        got.setdefault(r.doc_id, []).append((r.n_email, r.n_ip, r.n_card, r.n_phone))
+    assert got[1] == [(1, 0, 0, 0)] * 2 and got[None] == [(1, 0, 0, 0)] and got[3] == [(0, 0, 0, 0)] and got[4] == [(1, 0, 0, 0)] and got[5] == [(0, 0, 0, 0)] and got[6][0][0] == 2
+
+
+def test_suffix_dedup_odd_rows(spark, monkeypatch):
+    """Texts over the border of the parts that are hashed at once, repeats, hot prints, clashing columns."""
+    from millrace.llm import _shared
+
+    monkeypatch.setattr(_shared, "HOT_ROWS", 3)
+    r = random.Random(21)
+    base = "".join(r.choice("abcdefghij ") for _ in range(suffix_dedup.PART + 5000))
+    passage = base[suffix_dedup.PART - 300 : suffix_dedup.PART + 300]
+    rows = [(1, base, "x"), (2, "own start " + passage + " own end", "x"), *[(i, "copy " * 60, "y") for i in range(10, 18)], (20, None, "z"), (20, None, "z"), (21, "é" * 99, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, print string")
+    got = {(x.doc_id, x.n_bytes, x.n_removed) for x in suffix_dedup.suffix_dedup(df).collect()}
+    seen, want = set(), set()
+    for i, t, _ in dict.fromkeys(rows):
+        data = (t or "").encode()
+        windows = [data[k : k + 100] for k in range(len(data) - 99)]
+        gone = np.zeros(len(data), bool)
+        for k, w in enumerate(windows):
+            gone[k : k + 100] |= w in seen
+            seen.add(w)
+        want.add((i, len(data), int(gone.sum())))
+    assert got == want
+
+
+def test_license_odd_rows(spark):
+    rows = [(1, "Released under the MIT License.", "x", 1), (1, "Released under the MIT License.", "x", 1), (None, "All rights reserved.", "x", 1), (3, None, "x", 1), (4, LONG.replace(" dolor", "\n") + "\nLicensed under the Apache License, Version 2.0.", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, top string, n_paragraphs int")
+    got = sorted((str(r.doc_id), r.top, r.n_licensed) for r in licenses.scan(df, licenses.train(licenses.background_of(df))).collect())
+    assert got == [("1", "mit", 1), ("1", "mit", 1), ("3", "unknown", 0), ("4", "apache-2.0", 1), ("None", "proprietary", 1)]
+
+
+def test_license_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "SAMPLE_DOCS", 50)
+    df = spark.range(2000).select("id", F.concat(F.lit("a line of text number "), "id").alias("text"))
+    assert 20 <= len(licenses.background_of(df, 500)) <= 110
+
+
+def test_lm_odd_rows(spark):
+    rows = [(1, "a b c", 1, 2), (1, "a b c", 1, 2), (2, None, 1, 2), (3, "word " * 300_000 + "end", 1, 2), (7, "", 1, 2)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, row int, score int")).toPandas()
+    assert sorted(got.n_tokens) == [1, 1, 4, 4, 300_002] and got[got.doc_id == 1].score.nunique() == 1 and (got.score <= 0).all()
+
+
+def test_quality_verdict_against_brute_force(spark):
+    """The fences and verdicts of the method, computed again with numpy from exact quartiles."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    rows = []
+    for i in range(600):
+        w = [word() for _ in range(r.randint(25, 80))]
+        if i % 23 == 0:
+            w = [x + "#$%" for x in w]
+        if i % 29 == 0:
+            w = [x * 4 for x in w]
+        rows.append((i, " ".join(w), ["en", "de", None][i % 3], f"s{i % 5}", 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, grp int")
+    got = quality.quality(df).toPandas().sort_values("doc_id").set_index("doc_id")
+    got["lang"], got["source"] = [str(x[2]) for x in rows], [x[3] for x in rows]
+    ok = got[~got.base_failed]
+    share = {k: ok[k] / ok[of] for k, (of, _) in quality.COUNTS.items()} | {"wl": ok.word_chars / ok.n_words}
+    quart = lambda x: np.array(sorted(x))[[int(np.ceil(p * len(x))) - 1 for p in (0.25, 0.75)]]
+    wrong = near = 0
+    for i, x in got.iterrows():
+        odd = edge = False
+        for k, s in share.items():
+            own, lang = s[(ok.lang == x.lang) & (ok.source == x.source)], s[ok.lang == x.lang]
+            q = quart(s)
+            q = (quart(lang) * len(lang) + quality.PRIOR * q) / (len(lang) + quality.PRIOR)
+            q = (quart(own) * len(own) + quality.PRIOR * q) / (len(own) + quality.PRIOR)
+            spread = quality.SPREADS * max(q[1] - q[0], quality.LEAST_SPREAD * q[1] if k == "wl" else 0)
+            if k == "wl":
+                for sign, at in ((1, q[1] + spread), (-1, max(0, q[0] - spread))):
+                    usual = at * x.n_words
+                    over = sign * (x.word_chars - usual) - quality.NOISE * np.sqrt(usual) - quality.NOISE**2
+                    odd |= over > 0
+                    edge |= abs(over) < 0.3 * x.n_words
+            else:
+                of, unit = quality.COUNTS[k]
+                usual = max(q[1] + spread, 0) * x[of]
+                edge_at = usual + quality.NOISE * np.sqrt(unit * usual) + quality.NOISE**2 * unit
+                odd |= x[k] > edge_at
+                edge |= abs(x[k] - edge_at) < 2
+        near += edge
+        wrong += (not edge) and bool(x.kept) != (not odd and not x.base_failed)
+    assert wrong == 0 and near < 30 and 20 < (~got.kept).sum() < 80
+
+
+def test_quality_odd_rows(spark):
+    rows = [(1, "word " * 30, None, None, 1), (1, "word " * 30, None, None, 1), (None, " ".join(f"w{i}" for i in range(40)), "en", "s", 2), (3, None, "en", "s", 3), (4, LONG, "en", "s", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _measured int").withColumn("grp", F.lit("g"))
+    got = sorted((str(r.doc_id), r.n_words, r.base_failed, r.kept) for r in quality.quality(df).collect())
+    assert got == [("1", 30, True, False), ("1", 30, True, False), ("3", 0, True, False), ("4", 1_000_000, True, False), ("None", 40, False, True)]
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and [r._measured for r in kept.collect()] == [2]
+    bare = df.select("doc_id", "text")
+    assert quality.keep_good(bare).columns == ["doc_id", "text"] and quality.keep_good(bare).count() == 1
+
+
+def test_exact_dedup_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 3)
+    rows = [(i, f"t{i % 7}", "a") for i in range(40)] + [(100, "t1", "b")] * 3 + [(None, "zz", "c"), (None, "t2", "c"), (5000, None, "d"), (5001, "", "d"), (7, LONG, "e"), (8, LONG, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumns({"row": F.lit("r"), "bucket": F.lit(1)})
+    got = exact_dedup.exact_dedup(df, capacity=2).toPandas()
+    sizes = Counter(t or "" for _, t, _ in rows)
+    last = {t: max((d for d, u, _ in rows if (u or "") == t and d is not None), default=None) for t in sizes}
+    sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in sizes}
+    assert len(got) == len(rows) and got.groupby("text_sha256").kept.sum().eq(1).all()
+    for r in got.itertuples():
+        t = sha[r.text_sha256]
+        assert r.group_size == sizes[t] and (r.keep_id == last[t] or (last[t] is None and np.isnan(r.keep_id)))
+    kept = exact_dedup.keep_one(df, capacity=2)
+    assert kept.columns == df.columns and sorted(x.text or "" for x in kept.collect()) == sorted(sizes) and [x.key for x in kept.collect() if x.text == "t1"] == ["b"]
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    w = lambda i: " ".join(f"word{i}x{j}" for j in range(60))
+    rows = [(1, w(1), "en", "s", 9), (1, w(1), "en", "s", 9), (2, w(1), "en", "s", 9), (3, w(3), "en", "s", 9), (4, w(3) + " more", "en", "s", 9), (None, w(5) + " password=Zq81kd92x", None, None, 9), (6, None, "en", "s", 9), (7, "", "en", "s", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for frame in (df, df.limit(0)):
+        docs = frame
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialize(stage(spark, docs, ""), "test")
+            assert docs.columns == df.columns, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+        assert packed.count() == docs.count()
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert set(kept) == {2, 3, None} and kept[None].endswith(secrets_scan.MASK)
