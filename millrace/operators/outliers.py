@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..config import CleanConfig
 from ..plans.context import ColumnContext, kind_of, sample_skew
 from ..plans.repair import RID, agg_row, c
 from ..report import CleanReport
+from . import isolation
 
 FACTOR = {"iqr": 1.5, "zscore": 3.0}
 MIN_VALUES, HEAVY, REMOVAL_WARN, NORMAL_SKEW = 20, 0.15, 0.02, 0.5
@@ -22,7 +25,13 @@ class Fence:
     high: float
     label: str
 
+    #: Intervals of ordinary values, where these aren't all from ``low`` to ``high``.
+    inside: tuple[tuple[float, float], ...] = ()
+
     def mask(self, col: Column) -> Column:
+        if self.inside:
+            usual = reduce(lambda a, b: a | b, ((col > lo) & (col <= hi) for lo, hi in self.inside))
+            return F.coalesce(~usual, F.lit(False))
         return F.coalesce((col < self.low) | (col > self.high), F.lit(False))
 
 
@@ -45,9 +54,8 @@ def fences(df: DataFrame, config: CleanConfig, cols: list[str] | None = None, mi
     rows = df.count()
     m = agg_row(df, {(n, k): v for n in cols for k, v in (("n", F.count(c(n))), ("q", quantile(c(n), [0.25, 0.75], config, rows)), ("mean", F.avg(c(n))), ("std", F.stddev_samp(c(n).cast("double"))))})
     method = dict.fromkeys(cols, config.outlier_method)
-    note = ""
-    if config.outlier_method == "isolation_forest":
-        note = " (isolation_forest unavailable, fell back)"
+    isolated = isolation_fences(df, config, {n: m[n, "n"] for n in cols}, integer_safe) if config.outlier_method == "isolation_forest" else {}
+    note = " (isolation_forest found nothing or too few values, fell back)" if config.outlier_method == "isolation_forest" else ""
     if config.outlier_method in ("auto", "isolation_forest"):
         inner = {}
         for n in cols:
@@ -62,6 +70,9 @@ def fences(df: DataFrame, config: CleanConfig, cols: list[str] | None = None, mi
     for n in cols:
         if m[n, "n"] < min_values:
             continue
+        if n in isolated:
+            out[n] = isolated[n]
+            continue
         factor = config.outlier_factor or FACTOR[method[n]]
         if method[n] == "iqr":
             q1, q3 = m[n, "q"]
@@ -79,6 +90,30 @@ def fences(df: DataFrame, config: CleanConfig, cols: list[str] | None = None, mi
     return out
 
 
+def isolation_fences(df: DataFrame, config: CleanConfig, counts: dict[str, int], integer_safe: bool = True) -> dict[str, Fence]:
+    """Fences by an isolation forest a column, from a bounded sample of its values; low and high are the extremes of the ordinary ones."""
+    cols = [n for n, k in counts.items() if k >= isolation.MIN_VALUES]
+    if not cols:
+        return {}
+    share = min(1.0, isolation.SAMPLE / max(counts.values()))
+    row = F.xxhash64(F.col(RID) if RID in df.columns else F.struct(*(c(n) for n in cols)), F.lit(config.random_state))
+    some = df if share == 1 else df.filter(F.pmod(row, F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = some.select(*(c(n).cast("double").alias(n) for n in cols)).toPandas()
+    found = {n: isolation.inliers(v, config.random_state) for n in cols if len(v := sample[n].dropna().to_numpy()) >= isolation.MIN_VALUES}
+    masks = {n: Fence(0, 0, "", tuple(inside)) for n, inside in found.items() if inside and inside != [(-np.inf, np.inf)]}
+    usual = {n: F.when(~f.mask(c(n).cast("double")), c(n).cast("double")) for n, f in masks.items()}
+    edges = agg_row(df, {(n, k): f(v) for n, v in usual.items() for k, f in (("lo", F.min), ("hi", F.max))}) if usual else {}
+    out = {}
+    for n, f in masks.items():
+        low, high = edges[n, "lo"], edges[n, "hi"]
+        if low is None:
+            continue
+        if integer_safe and kind_of(df.schema[n].dataType) == "integer":
+            low, high = float(low // 1), float(-(-high // 1))
+        out[n] = Fence(low, high, "method=isolation_forest, contamination=auto", f.inside)
+    return out
+
+
 def choose(ctx: ColumnContext, config: CleanConfig, share: float) -> tuple[str | None, str]:
     """(action or None to preserve, reason)."""
     if ctx.role in ("id", "target"):

@@ -465,3 +465,34 @@ def _(spark, d):
     got = gate_manifest(spark, f"{folder}/manifest.json", 10, select=("gated_nation",), audit_dir=folder, strategy="conservative")
     assert os.path.exists(f"{folder}/gated_nation_audit.json")
     return rows(spark, "model string, n long, status string", *((n, r.rows, r.status) for n, r in got.items()))
+
+
+@query("json_batches", "SELECT event_id, event_type FROM events WHERE event_id < 500")
+def _(spark, d):
+    from functools import reduce
+
+    from .sources.files import json_batches
+
+    tables(spark, d, "events")
+    messages = [json.dumps({"event_id": r[0], "event_type": r[1]}) for r in spark.sql("SELECT event_id, event_type FROM events WHERE event_id < 500").toLocalIterator()]
+    return reduce(DataFrame.union, json_batches(spark, messages, "event_id long, event_type string", batch_size=200))
+
+
+@query("cli_gate", "SELECT 0 AS passes, 1 AS fails, 0 AS warns")
+def _(spark, d):
+    import contextlib
+    import io
+
+    from .cli import main
+
+    with contextlib.redirect_stdout(io.StringIO()):
+        codes = tuple(main(["gate", f"{d}/nation.parquet", "--threshold", t, "--on-fail", how]) for t, how in (("10", "fail"), ("101", "fail"), ("101", "warn")))
+    return rows(spark, "passes int, fails int, warns int", codes)
+
+
+@query("outlier_isolation_tails", "SELECT 'flagged' AS kind, count(*) AS n FROM lineitem WHERE l_orderkey % 997 = 0")
+def _(spark, d):
+    tables(spark, d, "lineitem")
+    df = spark.sql("SELECT CASE WHEN l_orderkey % 997 = 0 THEN 1e6 ELSE l_quantity END AS v FROM lineitem")
+    out = cleaned(df, strategy="balanced", outlier_method="isolation_forest")
+    return out.filter("v_outlier and v > 1e5").agg(F.lit("flagged").alias("kind"), F.count(F.lit(1)).alias("n")).select("kind", "n")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FORMATS = {".parquet": "parquet", ".pq": "parquet", ".csv": "csv", ".tsv": "csv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".orc": "orc", ".feather": "arrow", ".arrow": "arrow", ".ipc": "arrow"}
 
@@ -48,6 +52,51 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def flight_batches(spark: SparkSession, location: str, path: tuple[str, ...] = (), *, batch_size: int = 10_000, max_batches: int | None = None) -> Iterator[DataFrame]:
+    """Batches of an Arrow Flight stream in turn, as for ``StreamingCleaner.clean_batches``; the last one may be smaller."""
+    for n, (table, start) in enumerate((t, s) for t in _flight_tables(location, path) for s in range(0, t.num_rows, batch_size)):
+        if n == max_batches:
+            return
+        yield spark.createDataFrame(table.slice(start, batch_size))
+
+
+def _flight_tables(location: str, path: tuple[str, ...]) -> Iterator:
+    from pyarrow import Table, flight
+
+    client = flight.connect(location)
+    info = client.get_flight_info(flight.FlightDescriptor.for_path(*path))
+    for endpoint in info.endpoints:
+        for chunk in client.do_get(endpoint.ticket):
+            yield Table.from_batches([chunk.data])
+
+
+def read_flight(spark: SparkSession, location: str, path: tuple[str, ...] = ()) -> DataFrame:
+    """An Arrow Flight table, its endpoints read in parallel: a task each, at the endpoint's own location where it names one."""
+    from pyarrow import flight
+
+    info = flight.connect(location).get_flight_info(flight.FlightDescriptor.for_path(*path))
+    tickets = [(e.ticket.ticket, e.locations[0].uri.decode() if e.locations else location) for e in info.endpoints]
+
+    def read(batches):
+        from pyarrow import flight
+
+        for batch in batches:
+            for ticket, place in zip(batch.column("ticket").to_pylist(), batch.column("place").to_pylist()):
+                for chunk in flight.connect(place).do_get(flight.Ticket(ticket)):
+                    yield chunk.data
+
+    schema = spark.createDataFrame(info.schema.empty_table()).schema
+    return spark.createDataFrame(tickets, "ticket binary, place string").repartition(max(1, len(tickets))).mapInArrow(read, schema)
+
+
+def json_batches(spark: SparkSession, messages: Iterable[str | bytes], schema: str, *, batch_size: int = 10_000, max_batches: int | None = None) -> Iterator[DataFrame]:
+    """Batches of JSON messages, as a Kafka consumer gives them; what is left at the end is a last, smaller batch."""
+    messages, n = iter(messages), 0
+    while (max_batches is None or n < max_batches) and (part := [(m.decode() if isinstance(m, bytes) else m,) for m in islice(messages, batch_size)]):
+        n += 1
+        yield spark.createDataFrame(part, "value string").select(F.from_json("value", schema).alias("x")).select("x.*")
+
+
 def register(df: DataFrame, name: str) -> DataFrame:
     """A temporary view, for SQL over a cleaned table."""
     df.createOrReplaceTempView(name)

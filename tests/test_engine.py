@@ -155,3 +155,27 @@ def test_dates_of_every_format_are_read(spark):
     for fmt in (*ISO_FORMATS, *MONTH_FIRST):
         row = spark.createDataFrame([(at,)], "t timestamp").select(F.date_format("t", fmt).alias("s")).select("s", parsed_date(F.col("s"), False).alias("d"), F.col("s").rlike(f"^{shape_of(fmt)}$").alias("ok")).first()
         assert row.ok and row.d is not None and (row.d.year, row.d.month) == (2021, 3), fmt
+
+
+def test_isolation_forest(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    v = np.append(rng.normal(100, 5, 300), 5000.0)
+    out, report = M.clean(pd.DataFrame({"v": v}), return_report=True, strategy="aggressive", outlier_method="isolation_forest", outlier_action="cap", drop_duplicates=False)
+    assert out.toPandas()["v"].max() < 1000 and "isolation_forest" in report.by_step("outliers")[0].description
+    few = pd.DataFrame({"v": np.append(rng.normal(100, 5, 50), 5000.0)})
+    out, report = M.clean(few, return_report=True, strategy="aggressive", outlier_method="isolation_forest", outlier_action="cap", drop_duplicates=False)
+    assert out.toPandas()["v"].max() < 5000 and "fell back" in report.by_step("outliers")[0].description
+
+
+def test_isolation_intervals():
+    import numpy as np
+
+    from millrace.operators.isolation import inliers
+
+    rng = np.random.default_rng(1)
+    inside = inliers(np.concatenate([rng.normal(0, 1, 2000), [50.0, -60.0]]))
+    holds = lambda x: any(lo < x <= hi for lo, hi in inside)
+    assert holds(0.0) and holds(0.5) and not holds(50.0) and not holds(-60.0) and not holds(30.0)
+    assert inliers(np.full(500, 3.0)) in ([], [(-np.inf, np.inf)])
