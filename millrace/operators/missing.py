@@ -16,7 +16,7 @@ from ..plans.repair import RID, agg_row, c
 from ..report import CleanReport
 from .outliers import fences, quantile
 
-MEAN_SKEW, KNN_ROWS, KNN_CORR, KNN_MAX_CORR, KNN_PARTNERS, NEIGHBOURS = 0.5, 10_000, 0.3, 0.98, 5, 5
+MEAN_SKEW, KNN_ROWS, KNN_CORR, KNN_MAX_CORR, KNN_PARTNERS, NEIGHBOURS, BLOCK = 0.5, 10_000, 0.4, 0.98, 5, 5, 256
 CORR_MIN_ROWS = 30
 
 
@@ -281,9 +281,10 @@ def knn_fill(df: DataFrame, name: str, partners: list[str], fallback: float | No
         x = np.stack([col.to_numpy() for col in columns], 1)
         k = min(NEIGHBOURS, len(donors))
         out = np.empty(len(x))
-        for i, row in enumerate(x):
-            d = ((donors[:, 1:] - row) ** 2).sum(1)
-            out[i] = donors[np.argpartition(d, k - 1)[:k], 0].mean()
+        for at in range(0, len(x), BLOCK):  # distances of a block of rows to all donors at once
+            part = x[at : at + BLOCK]
+            d = np.stack([(donors[:, j + 1] - part[:, j, None]) ** 2 for j in range(part.shape[1])]).sum(0)
+            out[at : at + BLOCK] = donors[np.argpartition(d, k - 1, axis=1)[:, :k], 0].mean(1)
         return pd.Series(out)
 
     return df.withColumn(name, F.when(c(name).isNotNull(), c(name).cast("double")).otherwise(near(*cols)))

@@ -179,3 +179,21 @@ def test_isolation_intervals():
     holds = lambda x: any(lo < x <= hi for lo, hi in inside)
     assert holds(0.0) and holds(0.5) and not holds(50.0) and not holds(-60.0) and not holds(30.0)
     assert inliers(np.full(500, 3.0)) in ([], [(-np.inf, np.inf)])
+
+
+def test_knn_fill_against_brute_force(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from millrace.operators.missing import knn_fill
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=700), rng.normal(size=700)
+    v = np.where(np.arange(700) % 7 == 0, np.nan, a + b)
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(700), "v": v, "a": a, "b": b})).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    got = knn_fill(df, "v", ["a", "b"], None).toPandas().sort_values("i")["v"].to_numpy()
+    z = np.stack([(x - x.mean()) / x.std(ddof=1) for x in (a, b)], 1)
+    known = np.flatnonzero(~np.isnan(v))
+    for i in np.flatnonzero(np.isnan(v)):
+        near = known[np.argsort(((z[known] - z[i]) ** 2).sum(1))[:5]]
+        assert abs(got[i] - v[near].mean()) < 1e-9
