@@ -71,6 +71,18 @@ def release(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+def written(spark: SparkSession) -> set[str]:
+    """Paths of the tables that this application has materialized and not deleted."""
+    return set(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+
+
+def release_since(spark: SparkSession, before: set[str], *kept: DataFrame) -> None:
+    """Delete the tables materialized since ``before`` was taken, but ``kept``."""
+    keep = before | {getattr(t, "_millrace_path", None) for t in kept}
+    for path in sorted(written(spark) - keep):
+        _delete(spark, path)
+
+
 def sweep(spark: SparkSession, *kept: DataFrame) -> int:
     """Delete every table that this application materialized but ``kept``; for when the results that read them are written."""
     keep = {getattr(t, "_millrace_path", None) for t in kept}

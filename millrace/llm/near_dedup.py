@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import Forest, components
-from ._shared import WordHashes, lookup_join, lower_words, materialize, maybe_broadcast, mix, read_table, spread_join, trimmed
+from ._shared import WordHashes, lookup_join, lower_words, materialize, maybe_broadcast, mix, read_table, release_since, spread_join, trimmed, written
 
 WORDS, THRESHOLD = 5, 85
 TREES, DEPTH, MIN_DEPTH = 16, 8, 6
@@ -357,7 +357,9 @@ def near_dedup(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     prints = materialize(signatures(docs, words), "prints")
     full = prints.filter("print is not null")
     classes = materialize(full.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n")), "classes")
+    before = written(docs.sparkSession)
     links = materialize(components(link_classes(docs, classes, words, threshold)), "components")
+    release_since(docs.sparkSession, before, links)
     found = classes.join(links, F.col("rep") == F.col("id"), "left").select("print", F.coalesce("component", "rep").alias("component_id"), "n")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = spread_join(prints.select("doc_id", "n_shingles", "print"), found, ["print"], F.struct("doc_id", "n_shingles"), "n", total)

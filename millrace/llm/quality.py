@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, materialize, read_table, spread_join, unused_name
+from ._shared import BROADCAST_ROWS, materialize, read_table, release, spread_join, unused_name
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -146,7 +146,9 @@ def thresholds(measured: DataFrame) -> DataFrame:
     least = {"word_length": LEAST_SPREAD}
     spread = lambda m: SPREADS * F.greatest(F.col(f"{m}_3") - F.col(f"{m}_1"), least.get(m, 0.0) * F.col(f"{m}_3"))
     out = quarters.select("grp", "rows", *((F.col(f"{m}_3") + spread(m)).alias(f"{m}_high") for m in cols), *((F.col(f"{m}_1") - spread(m)).alias(f"{m}_low") for m in cols))
-    return materialize(out, "quality-thresholds")  # one row per (lang, source)
+    limits = materialize(out, "quality-thresholds")  # one row per (lang, source)
+    release(sketched)
+    return limits
 
 
 def odd() -> Column:

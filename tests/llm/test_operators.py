@@ -617,6 +617,15 @@ def test_exact_dedup_odd_rows(spark, monkeypatch):
     assert kept.columns == df.columns and sorted(x.text or "" for x in kept.collect()) == sorted(sizes) and [x.key for x in kept.collect() if x.text == "t1"] == ["b"]
 
 
+def test_intermediate_tables_are_deleted(spark, docs):
+    from millrace.llm import _shared
+
+    _shared.sweep(spark)
+    assert near_dedup.near_dedup(docs).count() == 10
+    assert {p.rsplit("millrace-", 1)[1].rsplit("-", 1)[0] for p in _shared.written(spark)} == {"prints", "classes", "components"}
+    assert _shared.sweep(spark) == 3 and not _shared.written(spark)
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     import corpus_pipeline
 
