@@ -11,6 +11,10 @@ from . import _shared
 from ._shared import materialize, release, spread_join
 
 
+#: Edges (16 bytes each) that one task joins, whatever the number of rounds they would take.
+TASK_EDGES = 100_000
+
+
 class Forest:
     """Union-find over ids; the root of a set is its smallest id."""
 
@@ -53,29 +57,35 @@ def _local_stars(batches):
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every id that an edge (a, b) touches; component is the smallest id.
 
-    Each round: large star and small star, after joining what each task holds.
+    At most TASK_EDGES edges are joined in one task. Else, each round: large star and small star, after joining what each task holds.
     The least neighbour of an id is a grouped minimum, pre-aggregated in the map
     tasks; the edges of a hub are dealt over several tasks when they meet it.
     """
-    now = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(_local_stars, "a long, b long").distinct(), "edges")
+    now = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(_local_stars, "a long, b long"), "edges")
     for _ in range(most_rounds):
         n_edges = now.count()
+        if n_edges <= TASK_EDGES:  # one task joins them all
+            whole = materialize(now.coalesce(1).mapInArrow(_local_stars, "a long, b long"), "edges")
+            release(now)
+            now = whole
+            break
         meet = spread_join if n_edges > _shared.SMALL_ROWS else (lambda rows, table, keys, *_: rows.join(F.broadcast(table.drop("n")), keys, "left"))  # as many rows as ids at most
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = meet(both.filter("b > a"), low, ["a"], F.col("b"), "n", 2 * n_edges).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = meet(both.filter("b > a"), low, ["a"], F.col("b"), "n", 2 * n_edges).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = meet(down, least, ["a"], F.col("b"), "n", n_edges).select(F.col("b").alias("x"), "m", "a")
-        stars = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        after = materialize(stars.mapInArrow(_local_stars, "a long, b long").distinct(), "edges")
+        stars = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b")
+        after = materialize(stars.mapInArrow(_local_stars, "a long, b long"), "edges")
         # settled: every id points at one root, and no root points on
         roots = after.select(F.col("b").alias("a")).distinct()
-        open_ = after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a").union(after.join(roots, "a", "left_semi").select("a")).limit(1).count()
+        open_ = after.groupBy("a").agg(F.min("b").alias("l"), F.max("b").alias("h")).filter("l < h").select("a").union(after.join(roots, "a", "left_semi").select("a")).limit(1).count()
         release(now)
         now = after
         if not open_:
             break
     else:
         raise RuntimeError("components did not settle")
+    now = now.distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
