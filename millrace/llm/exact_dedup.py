@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from ._shared import HOT_ROWS, HOT_SHARE, SALTS, materialize, read_table, release
 
 #: Keys that a bucket holds before it splits, and bits of the deepest directory (beyond it buckets grow).
-CAPACITY, MAX_DEPTH = 4096, 18
+CAPACITY, MAX_DEPTH = 256, 18
 
 
 def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> list[tuple[int, int, int]]:
