@@ -44,7 +44,7 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{
 WHITE = regex.compile(r"\p{White_Space}+")
 CONTROLS = regex.compile(r"[\x1c-\x1f]")
 #: States beyond the compiled ones that a worker keeps, characters of text taken at once.
-TABLE, CHUNK_CHARS = 80_000, 700_000
+TABLE, CHUNK_CHARS = 50_000, 500_000
 #: Longer words are walked one by one: a numpy step a byte pays for many words only.
 LONG = 128
 
