@@ -201,12 +201,13 @@ def test_near_dedup_in_a_dense_region(spark):
     assert found >= 0.99 * 500 and all(c in (i, i - 1) for i, c in enumerate(got)) and time.time() - began < 120
 
 
-@pytest.mark.parametrize("small", [50_000, 0])
-def test_components_of_hubs_and_paths(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, tasks", [(50_000, 100_000), (50_000, 0), (0, 0)])
+def test_components_of_hubs_and_paths(spark, monkeypatch, small, tasks):
     from millrace.llm import _graph, _shared
 
     monkeypatch.setattr(_shared, "SMALL_ROWS", small)
     monkeypatch.setattr(_shared, "HOT_ROWS", 20)
+    monkeypatch.setattr(_graph, "TASK_EDGES", tasks)
     edges = [(5, i) for i in range(6, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 1000), (2000, 2001), (3, 3)]
     got = dict(map(tuple, _graph.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()))
     want = {i: 5 for i in [*range(5, 300), *range(1000, 1041)]} | {2000: 2000, 2001: 2000}
