@@ -156,13 +156,22 @@ def row_range(df: DataFrame) -> Column:
     """The range of the row order a row lies in, by fixed bounds: about as many ranges as shuffle partitions."""
     kind = df.schema[RID].dataType
     if kind_of(kind) not in ("integer", "double", "datetime"):
-        return F.lit(0)
+        return _sampled_range(df)
     at = F.col(RID).cast("timestamp").cast("double") if kind_of(kind) == "datetime" else F.col(RID).cast("double")
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     bounds = df.select(F.percentile_approx(at, [i / n for i in range(1, n)], 1000)).first()[0] or []
     return F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))), lambda b: b <= at)) if bounds else F.lit(0)
 
 
+def _sampled_range(df: DataFrame) -> Column:
+    """As ``row_range`` for orders without quantiles, such as texts: bounds from a few thousand values."""
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows = df.filter(F.col(RID).isNotNull()).select(RID)
+    some = sorted(r[0] for r in rows.sample(min(1.0, 5000 / max(rows.count(), 1)), seed=0).limit(20_000).collect())
+    bounds = sorted({some[i * len(some) // n] for i in range(1, n)}) if some else []
+    return F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col(RID))) if bounds else F.lit(0)
+
+
 def is_ordered(df: DataFrame, name: str) -> bool:
     """Whether non-null times never fall in row order.
 

@@ -197,3 +197,23 @@ def test_knn_fill_against_brute_force(spark):
     for i in np.flatnonzero(np.isnan(v)):
         near = known[np.argsort(((z[known] - z[i]) ** 2).sum(1))[:5]]
         assert abs(got[i] - v[near].mean()) < 1e-9
+
+
+def test_time_fill_in_an_order_of_texts(spark):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from millrace.operators.missing import time_fill
+    from millrace.plans.context import is_ordered, row_range
+    from millrace.plans.repair import RID
+
+    rows = [(f"k{i:04d}", datetime(2024, 1, 1) + timedelta(hours=i) if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, f"{RID} string, t timestamp_ntz").repartition(5)
+    assert df.select(row_range(df).alias("p")).distinct().count() > 1 and is_ordered(df, "t")
+    got = [r.t for r in time_fill(df, "t").orderBy(RID).collect()]
+    last, want = None, []
+    for _, t in rows:
+        last = t or last
+        want.append(last or datetime(2024, 1, 1, 1))
+    assert got == want
