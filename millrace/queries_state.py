@@ -25,6 +25,7 @@ from .plans.context import build_contexts, informative, is_ordered
 from .plans.repair import with_rid
 from .queries import cleaned, tables
 from .sources.files import read_table, write_table
+from .sources.scratch import scratch_folder
 from .streaming.cleaner import StreamingCleaner, file_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,7 +149,7 @@ def _(spark, d):
 
 @query("stream_files", "SELECT event_id, trim(event_type) AS event_type FROM events")
 def _(spark, d):
-    folder = tempfile.mkdtemp(prefix="millrace-stream-")
+    folder = scratch_folder(spark, "stream")
     src = batches(spark, d)
     for b in src:
         b.selectExpr("event_id", "concat('  ', event_type, ' ') as event_type").write.mode("append").parquet(f"{folder}/in")
@@ -183,7 +184,7 @@ def _(spark, d):
 def _round_trip(kind: str, suffix: str):
     def run(spark, d):
         tables(spark, d, "orders")
-        path = f"{tempfile.mkdtemp(prefix='millrace-file-')}/orders{suffix}"
+        path = f"{scratch_folder(spark, 'file')}/orders{suffix}"
         write_table(spark.sql("SELECT o_orderkey AS k, o_orderstatus AS status, o_custkey AS cust FROM orders"), path)
         return read_table(spark, path).selectExpr("cast(k as bigint) as k", "status", "cast(cust as bigint) as cust")
 
@@ -218,7 +219,7 @@ def _(spark, d):
 @query("clean_csv", "SELECT n_nationkey AS key, n_name AS name FROM nation WHERE n_nationkey % 2 = 0")
 def _(spark, d):
     tables(spark, d, "nation")
-    path = f"{tempfile.mkdtemp(prefix='millrace-file-')}/in.csv"
+    path = f"{scratch_folder(spark, 'file')}/in.csv"
     spark.sql("SELECT n_nationkey AS key, n_name AS name FROM nation WHERE n_nationkey % 2 = 0").coalesce(1).write.option("header", True).csv(path)
     return api.clean_csv(path, spark=spark, strategy="conservative").selectExpr("cast(key as int) as key", "name")
 
@@ -230,7 +231,7 @@ def _(spark, d):
 
     from .cli import main
 
-    out = f"{tempfile.mkdtemp(prefix='millrace-cli-')}/out.parquet"
+    out = f"{scratch_folder(spark, 'cli')}/out.parquet"
     with contextlib.redirect_stdout(io.StringIO()):
         assert main(["clean", f"{d}/region.parquet", out, "--strategy", "conservative"]) == 0
     return spark.read.parquet(out)
