@@ -134,12 +134,13 @@ def thresholds(measured: DataFrame) -> DataFrame:
     some = sketched.filter("n > 0")
     merged = [F.kll_merge_agg_double(m, SKETCH_K).alias(m) for m in cols]
     quartiles = lambda frame, of: [F.kll_sketch_get_quantile_double(frame[m], F.lit(p)).alias(f"{of}_{m}_{q}") for m in cols for q, p in (("1", 0.25), ("3", 0.75))]
-    every = some.groupBy(F.lit(True).alias("_all")).agg(*merged)  # one row, or none of an empty table
-    every = every.select(*quartiles(every, "all"))
+    whole = (F.col("rows") > 0).alias("_all")  # true of every group
+    every = some.groupBy(whole).agg(*merged)  # one row, or none of an empty table
+    every = every.select("_all", *quartiles(every, "all"))
     langs = some.groupBy(F.to_json(F.struct("lang")).alias("_lang")).agg(F.sum("n").alias("_lang_n"), *merged)
     langs = langs.select("_lang", "_lang_n", *quartiles(langs, "lang"))
-    own = sketched.select("grp", F.to_json(F.struct("lang")).alias("_lang"), "rows", "n", *(F.when(F.col("n") > 0, q).alias(a) for q, a in zip(quartiles(sketched, "own"), (f"own_{m}_{q}" for m in cols for q in "13"))))
-    both = own.join(langs, "_lang", "left").join(F.broadcast(every), F.lit(True), "left")
+    own = sketched.select("grp", whole, F.to_json(F.struct("lang")).alias("_lang"), "rows", "n", *(F.when(F.col("n") > 0, q).alias(a) for q, a in zip(quartiles(sketched, "own"), (f"own_{m}_{q}" for m in cols for q in "13"))))
+    both = own.join(langs, "_lang", "left").join(F.broadcast(every), "_all", "left")
     drawn = lambda value, n, prior: F.when(F.coalesce(n, F.lit(0)) > 0, (value * n + PRIOR * prior) / (n + PRIOR)).otherwise(prior)
     at = lambda m, q: drawn(F.col(f"own_{m}_{q}"), F.col("n"), drawn(F.col(f"lang_{m}_{q}"), F.col("_lang_n"), F.col(f"all_{m}_{q}")))
     quarters = both.select("grp", "rows", *(at(m, q).alias(f"{m}_{q}") for m in cols for q in "13"))
