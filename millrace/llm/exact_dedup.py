@@ -32,6 +32,8 @@ from ._shared import HOT_ROWS, HOT_SHARE, SALTS, materialize, read_table, releas
 
 #: Keys that a bucket holds before it splits, and bits of the deepest directory (beyond it buckets grow).
 CAPACITY, MAX_DEPTH = 256, 18
+#: Bits of the number of buckets that full ones are about at most: buckets grow beyond CAPACITY rather than the directory beyond memory.
+MOST_BUCKETS = 15
 
 
 def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> list[tuple[int, int, int]]:
@@ -76,6 +78,7 @@ def owned(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH)
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     keys = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
     rows, distinct = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    capacity = max(capacity, distinct >> MOST_BUCKETS)
     depth = min(max_depth, max(1, ceil(log2(max(distinct, 1) / capacity)) + 2)) if distinct > capacity else 1
     slots = _slots(spark, directory(keys.select("key", F.lit(1).alias("n")), capacity, depth), depth)
     hot_keys = materialize(keys.filter(F.col("n") > max(HOT_ROWS, rows // HOT_SHARE)).select("key", F.lit(True).alias("hot")), "exact-hot")  # HOT_SHARE rows at most
