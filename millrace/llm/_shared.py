@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -23,7 +24,8 @@ BUCKET_MB, TASK_MB = 24, 64
 #: HOT_ROWS rows and over 1/HOT_SHARE of all rows: HOT_SHARE keys at most.
 SALTS, HOT_ROWS, HOT_SHARE = 64, 1000, 10_000
 _ROOTS: dict[str, str] = {}
-_WRITTEN: dict[str, list[str]] = {}
+#: By application, the paths of materialized tables and the threads that wrote them.
+_WRITTEN: dict[str, dict[str, int]] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, {})[path] = threading.get_ident()
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
@@ -60,7 +62,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _WRITTEN[spark.sparkContext.applicationId].remove(path)
+    _WRITTEN[spark.sparkContext.applicationId].pop(path, None)
 
 
 def release(*tables: DataFrame) -> None:
@@ -77,16 +79,17 @@ def written(spark: SparkSession) -> set[str]:
 
 
 def release_since(spark: SparkSession, before: set[str], *kept: DataFrame) -> None:
-    """Delete the tables materialized since ``before`` was taken, but ``kept``."""
-    keep = before | {getattr(t, "_millrace_path", None) for t in kept}
-    for path in sorted(written(spark) - keep):
-        _delete(spark, path)
+    """Delete the tables that this thread materialized since ``before`` was taken, but ``kept``."""
+    keep, me = before | {getattr(t, "_millrace_path", None) for t in kept}, threading.get_ident()
+    for path, by in list(_WRITTEN.get(spark.sparkContext.applicationId, {}).items()):
+        if by == me and path not in keep:
+            _delete(spark, path)
 
 
 def sweep(spark: SparkSession, *kept: DataFrame) -> int:
     """Delete every table that this application materialized but ``kept``; for when the results that read them are written."""
     keep = {getattr(t, "_millrace_path", None) for t in kept}
-    gone = [p for p in _WRITTEN.get(spark.sparkContext.applicationId, ()) if p not in keep]
+    gone = [p for p in list(_WRITTEN.get(spark.sparkContext.applicationId, ())) if p not in keep]
     for path in gone:
         _delete(spark, path)
     return len(gone)
