@@ -481,7 +481,7 @@ def compile_vocabulary(spark: SparkSession, vocabulary: str) -> bytes:
                 yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(TokenAutomaton(vocabulary), pickle.HIGHEST_PROTOCOL), 1)], pa.binary())], ["tables"])
 
         _TABLES.clear()
-        _TABLES[key] = bytes(spark.range(1, numPartitions=1).mapInArrow(trimmed(run), "tables binary").first()[0])
+        _TABLES[key] = bytes(spark.range(1, numPartitions=1).mapInArrow(trimmed(run), "tables binary").collect()[0][0])
     return _TABLES[key]
 
 
