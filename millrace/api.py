@@ -177,7 +177,7 @@ def suggest_plan(df, *, config: CleanConfig | None = None, **options) -> CleanPl
     if config.mode is None:
         config = config.with_(strategy="balanced")
     frame = repair(with_rid(to_spark(df), config), config, CleanReport()).persist()
-    contexts = build_contexts(frame, config)
+    contexts = build_contexts(frame, config, need_counts=False)
     stats = numeric_stats(frame, config, [x for x in contexts.values() if x.role == "numeric" and x.n_missing and x.non_null])
     edge = fences(frame, config)
     m = agg_row(frame, {(n, k): v for n, f in edge.items() for k, v in (("out", F.count_if(f.mask(c(n)))), ("n", F.count(c(n))))}) if edge else {}

@@ -59,7 +59,7 @@ def run_pipeline(df: DataFrame, config: CleanConfig) -> tuple[DataFrame, CleanRe
     df = drop_duplicates(df, config, report)
     if data_columns(df):
         if config.mode is not None and (config.impute is None or config.outliers is None):
-            contexts = build_contexts(df, config)
+            contexts = build_contexts(df, config, need_counts=False)
             df = engine_missing(df, config, report, contexts)
             df = engine_outliers(df, config, report, contexts)
         df = plain_impute(df, config, report)

@@ -296,7 +296,7 @@ def plain_impute(df: DataFrame, config: CleanConfig, report: CleanReport) -> Dat
         return df
     from ..plans.context import build_contexts, modes
 
-    contexts = build_contexts(df, config, need_modes=False)
+    contexts = build_contexts(df, config, need_modes=False, need_counts=False)
     gaps = [x for x in contexts.values() if x.n_missing and x.non_null and x.kind != "nested"]
     numeric = [x for x in gaps if x.kind in ("integer", "double") and config.impute != "mode"]
     stats = _numeric_stats(df, config, numeric)

@@ -229,3 +229,12 @@ def test_order_of_times_beyond_the_years_of_python(spark):
         assert is_ordered(df, "up") and not is_ordered(df, "down")
     nulls = spark.sql(f"SELECT {RID}, cast(NULL AS date) AS t FROM far_times")
     assert is_ordered(nulls, "t") and is_ordered(nulls.limit(0), "t")
+
+
+def test_distinct_counts_are_exact_in_large_tables(spark):
+    from millrace.plans.context import EXACT_ROWS
+
+    n = EXACT_ROWS + 20_000
+    df = spark.range(n).selectExpr("id % 15000 AS k", "concat('t', id div 3) AS t", "cast(id AS double) / 7 AS x", "if(id % 2 = 0, null, id) AS odd")
+    got = {r["column"]: r["nunique"] for r in M.infer_roles(df).collect()}
+    assert got == {"k": 15_000, "t": n // 3, "x": n, "odd": n // 2}
