@@ -30,7 +30,9 @@ import json
 import pickle
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +47,12 @@ WHITE = regex.compile(r"\p{White_Space}+")
 CONTROLS = regex.compile(r"[\x1c-\x1f]")
 #: States beyond the compiled ones that a worker keeps, characters of text taken at once.
 TABLE, CHUNK_CHARS = 80_000, 700_000
+#: Answers of ``may_follow`` and ``_same`` that are remembered from one chunk to the next.
+ANSWERS = 100_000
 #: Longer words are walked one by one: a numpy step a byte pays for many words only.
 LONG = 128
+#: Arcs below a node up to which the arcs that end there are told apart by what they bar alone.
+MOST = 8
 
 
 def byte_letters() -> list[str]:
@@ -120,8 +126,9 @@ class TokenAutomaton:
     the arc that ends a word with that byte, ``arc_of`` maps a state to the arc
     that ends there if the word goes on. A state stands for the places behind it
     from which an arc is still under way: (node of the label trie, arc that ended
-    at that place). One path alone spells a word, so one arc alone ends at each
-    place, whatever follows. The tables hold the cells of all labels; a word that
+    at that place). Arcs that bar the same of the few arcs below a node stand for
+    one another, and a place from which none may come is left out. One path alone
+    spells a word, so one arc alone ends at each place, whatever follows. The tables hold the cells of all labels; a word that
     leaves them fills further cells, TABLE states at most beyond the compiled
     ones, and then the table falls back to those.
     """
@@ -133,20 +140,20 @@ class TokenAutomaton:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels |= {i: s for s, i in self.specials.items()}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-        self.gadgets: dict[tuple[int, int], int] = {}
+        self.gadgets: dict[int, dict[int, int]] = {}  # rank by left and right symbol
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}
         for rank, (u, v) in enumerate(spec["model"]["merges"], 1):
             pair, w = (arcs[u], arcs[v]), arcs[u + v]
-            self.gadgets.setdefault(pair, rank)
+            self.gadgets.setdefault(pair[0], {}).setdefault(pair[1], rank)
             if w not in self.parts:
                 self.parts[w], self.rank[w] = pair, rank
-        self.may: dict[tuple[int, int], bool] = {}
-        self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        self.n_arcs = 1 + max(self.labels)  # pairs with an arc are kept as one number
+        self._forget()
         bytes_of = {c: b for b, c in enumerate(byte_letters())}
         spelled = {i: bytes(bytes_of[c] for c in s.removesuffix(END)) for s, i in arcs.items() if i not in self.specials.values()}
         self._plant(spelled, {i for s, i in arcs.items() if s.endswith(END)})
-        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.states: list[tuple[int, ...]] = [(0, -1)]  # node, arc, node, arc...
         self.number = {self.states[0]: 0}
         self.arc_of = np.full(1 << 16, -1, np.int32)
         self.step, self.last = Cells(), Cells()
@@ -154,7 +161,7 @@ class TokenAutomaton:
         self._walk(np.frombuffer(b"".join(labels), np.uint8), np.array([len(w) for w in labels]))
         self.base = len(self.states)
         self.compiled = (*self.step.items(), *self.last.items())
-        self.may, self.edges = {}, {}
+        self._forget()
 
     def __getstate__(self) -> dict:
         """Without what ``__setstate__`` makes from the rest."""
@@ -167,6 +174,15 @@ class TokenAutomaton:
         self.step.load(*self.compiled[:2], 16)
         self.last.load(*self.compiled[2:], 16)
 
+    def _forget(self) -> None:
+        """Empties what ``_left``, ``_right``, ``may_follow``, ``_same`` and ``_below`` remember."""
+        self.lefts: dict[int, list[tuple[dict[int, int], float]]] = {}
+        self.rights: dict[int, list[tuple[int, float]]] = {}
+        self.may: dict[int, bool] = {}
+        self.same: dict[int, int | None] = {}
+        self.like: dict[tuple[int, int], int] = {}
+        self.below: dict[int, list[int] | None] = {}
+
     def _plant(self, spelled: dict[int, bytes], closing: set[int]) -> None:
         """The trie of the labels that a path can hold: children, arcs and closing arcs of each node."""
         self.children: list[dict[int, int] | None] = [{}]
@@ -203,10 +219,10 @@ class TokenAutomaton:
         del self.states[self.base :]
         self.step.load(*self.compiled[:2], 16)
         self.last.load(*self.compiled[2:], 16)
-        self.may, self.edges = {}, {}
+        self._forget()
         return np.array([self._state(s, arc) for s, arc in held], np.int64)
 
-    def _state(self, pairs: tuple[tuple[int, int], ...], arc: int) -> int:
+    def _state(self, pairs: tuple[int, ...], arc: int) -> int:
         number = self.number.get(pairs)
         if number is None:
             number = self.number[pairs] = len(self.states)
@@ -218,33 +234,78 @@ class TokenAutomaton:
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Symbols at one edge while ``token`` is built, each with the rank that consumes it."""
-        known = self.edges.get((token, side))
-        if known is not None:
-            return known
         out, until, at = [], float("inf"), token
         while True:
             out.append((at, until))
             if at not in self.parts:
-                self.edges[token, side] = out
                 return out
             until, at = self.rank[at], self.parts[at][side]
 
+    def _left(self, token: int) -> list[tuple[dict[int, int], float]]:
+        """The gadgets (rank by right symbol) of each symbol at the right edge of ``token``, with the rank that consumes it."""
+        found = self.lefts.get(token)
+        if found is None:
+            found = self.lefts[token] = [(self.gadgets[x], until) for x, until in self._edge(token, 1) if x in self.gadgets]
+        return found
+
+    def _right(self, token: int) -> list[tuple[int, float]]:
+        found = self.rights.get(token)
+        if found is None:
+            found = self.rights[token] = self._edge(token, 0)
+        return found
+
     def may_follow(self, before: int, arc: int) -> bool:
         """Whether ``arc`` may follow ``before``: no gadget fires across the border before an inner one consumes its symbols.
 
         On equal ranks the left pair goes first, so the right token's own merge loses.
         """
-        known = self.may.get((before, arc))
+        key = before * self.n_arcs + arc
+        known = self.may.get(key)
         if known is None:
-            fires = self.gadgets.get
-            right = self._edge(arc, 0)
-            known = self.may[before, arc] = not any((r := fires((x, y))) is not None and r < x_until and r <= y_until for x, x_until in self._edge(before, 1) for y, y_until in right)
+            known = self.may[key] = self._borders(self._left(before), self._right(arc))
         return known
 
+    @staticmethod
+    def _borders(left: list[tuple[dict[int, int], float]], right: list[tuple[int, float]]) -> bool:
+        for fires, x_until in left:
+            for y, y_until in right:
+                rank = fires.get(y)
+                if rank is not None and rank < x_until and rank <= y_until:
+                    return False
+        return True
+
+    def _arcs_below(self, node: int) -> list[int] | None:
+        """The arcs that end below ``node``; None if they are over MOST."""
+        if node not in self.below:
+            out, todo = list((self.closing[node] or {}).values()), list((self.children[node] or {}).values())
+            while todo and len(out) <= MOST:
+                at = todo.pop()
+                if self.ends[at] >= 0:
+                    out.append(self.ends[at])
+                out += (self.closing[at] or {}).values()
+                todo += (self.children[at] or {}).values()
+            self.below[node] = out if len(out) <= MOST else None
+        return self.below[node]
+
+    def _same(self, node: int, before: int) -> int | None:
+        """What stands for ``before`` at ``node``: the first arc met that bars the same arcs below, -1 if none is barred, None if all are."""
+        key = node * self.n_arcs + before
+        if key in self.same:
+            return self.same[key]
+        below, out = self._arcs_below(node), before
+        if below is not None:
+            left, mask = self._left(before), 0
+            for k, arc in enumerate(below):
+                mask |= self._borders(left, self._right(arc)) << k
+            out = None if not mask else -1 if mask == (1 << len(below)) - 1 else self.like.setdefault((node, mask), before)
+        self.same[key] = out
+        return out
+
     def _fill_step(self, state: int, byte: int) -> int:
         """Fills one cell of ``step``: every arc under way reads the byte; the one that may end here starts the next."""
         ended, under_way = -1, []
-        for node, before in self.states[state]:
+        pairs = iter(self.states[state])
+        for node, before in zip(pairs, pairs):
             below = self.children[node]
             node = below.get(byte) if below else None
             if node is None:
@@ -253,15 +314,18 @@ class TokenAutomaton:
             if arc >= 0 and ended < 0 and (before < 0 or self.may_follow(before, arc)):
                 ended = arc
             if self.children[node] or self.closing[node]:
-                under_way.append((node, before))
-        under_way.append((0, ended))
+                same = self._same(node, before) if before >= 0 else before
+                if same is not None:
+                    under_way += node, same
+        under_way += 0, ended
         number = self._state(tuple(under_way), ended)
         self.step.put(state << 8 | byte, number)
         return number
 
     def _fill_last(self, state: int, byte: int) -> int:
         """Fills one cell of ``last``."""
-        for node, before in self.states[state]:
+        pairs = iter(self.states[state])
+        for node, before in zip(pairs, pairs):
             arc = (self.closing[node] or {}).get(byte)
             if arc is not None and (before < 0 or self.may_follow(before, arc)):
                 self.last.put(state << 8 | byte, arc)
@@ -330,6 +394,8 @@ class TokenAutomaton:
 
     def encode_fragments(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all normalized fragments, one after the other, and how many each has."""
+        if len(self.may) + len(self.same) > ANSWERS:
+            self.may, self.same = {}, {}
         if not fragments:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         n_words = np.ones(len(fragments), np.int64)
@@ -385,8 +451,8 @@ class TokenAutomaton:
             for special, found in self.pieces(text):
                 flat += found if special is None else (special,)
             bounds.append(len(flat))
-        place = Places()
-        index = np.array(list(map(place.__getitem__, flat)), np.int64)
+        place = defaultdict(count().__next__)  # numbers in the order they first come
+        index = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
         return Fragments(list(place), index, np.array(bounds))
 
     def _whole(self, arc: int) -> bool:
@@ -394,8 +460,8 @@ class TokenAutomaton:
         if arc not in self.parts:
             return True
         (u, v), rank = self.parts[arc], self.rank[arc]
-        fires = self.gadgets.get
-        return not any((r := fires((x, y))) is not None and r < min(rank, x_until) and r <= y_until for x, x_until in self._edge(u, 1) for y, y_until in self._edge(v, 0))
+        left = [(self.gadgets[x], min(rank, until)) for x, until in self._edge(u, 1) if x in self.gadgets]
+        return self._borders(left, self._edge(v, 0))
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.labels[i] for i in ids)
@@ -426,14 +492,6 @@ def normalized(text: str) -> str:
     return text.lower()
 
 
-class Places(dict):
-    """Numbers keys in the order they first come."""
-
-    def __missing__(self, key) -> int:
-        n = self[key] = len(self)
-        return n
-
-
 class Fragments:
     """Distinct fragments of a chunk (a special token is a fragment of its id), their occurrences, the bounds of the texts."""
 
@@ -494,6 +552,11 @@ def loaded(tables: bytes) -> TokenAutomaton:
     return _COMPILED[key]
 
 
+def unload() -> None:
+    """Drops the automaton that this Python worker keeps, once no further task of the job encodes."""
+    _COMPILED.clear()
+
+
 def load_vocabulary(path: str | None = None) -> str:
     if path is None:
         import public_tokenizers

@@ -80,6 +80,13 @@ def test_bpe_equals_the_library(automaton, monkeypatch):
             assert ids == want and automaton.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_states_that_bar_the_same_are_one():
+    a, r = bpe.TokenAutomaton(bpe.load_vocabulary()), random.Random(5)
+    parts = [s for s in sorted(a.labels.values()) if s.isascii() and s.isalpha() and 2 <= len(s) <= 4]
+    a.encode_fragments(["".join(r.choices(parts, k=3)) for _ in range(4000)])
+    assert len(a.states) - a.base < 22_000  # 23,498 if each arc that ended stands for itself
+
+
 def test_bpe_query_on_odd_tables(spark):
     import public_tokenizers
     tokenizers = pytest.importorskip("tokenizers")
