@@ -40,12 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._shared import materialize, read_table, trimmed
-from .bpe import compile_vocabulary, load_vocabulary, loaded
+from .bpe import compile_vocabulary, load_vocabulary, loaded, unload
 
 SIZE, CLOSE = 2048, 0
 #: Steps of the search for the whole histogram and for each window of it, sequences of a window, windows tried.
 STEPS, WINDOW_STEPS, WINDOW, WINDOWS = 40_000, 6_000, 24, 60
 SEED = 4
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 class Pattern(NamedTuple):
@@ -312,6 +313,21 @@ def cut(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long")
 
 
+def placing(table: np.ndarray):
+    """A function over batches of ranked pieces that adds their sequence and offset by the rows of ``runs``."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unload()  # all is encoded: workers outlive the job, and would hold the automaton beside what runs next
+        key = table[:, 0] << 44 | table[:, 1]
+        for batch in batches:
+            length, rank = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in ("length", "rank"))
+            row = table[np.searchsorted(key, length << 44 | rank, side="right") - 1]
+            extra = [pa.array(row[:, 2] + rank - row[:, 1], pa.int64()), pa.array(row[:, 3], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PIECE), *extra], [*PIECE, "sequence_id", "offset"])
+
+    return place
+
+
 def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, steps: int = STEPS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = materialize(cut(docs, vocabulary, size), "pieces")
@@ -322,17 +338,8 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, steps: int = STEPS)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("task", "length", "first")
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = table[:, 0] << 44 | table[:, 1]
-        for batch in batches:
-            length, rank = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in ("length", "rank"))
-            row = table[np.searchsorted(key, length << 44 | rank, side="right") - 1]
-            extra = [pa.array(row[:, 2] + rank - row[:, 1], pa.int64()), pa.array(row[:, 3], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *extra], [*names, "sequence_id", "offset"])
-
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = pieces.join(firsts.hint("merge"), ["task", "length"]).select(*names, (F.col("first") + F.col("place")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = pieces.join(firsts.hint("merge"), ["task", "length"]).select(*PIECE, (F.col("first") + F.col("place")).alias("rank"))
+    return ranked.mapInArrow(trimmed(placing(table)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

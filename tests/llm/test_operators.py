@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -171,6 +172,16 @@ def test_packing_beats_best_fit():
     assert better >= 4
 
 
+def test_packing_workers_let_the_automaton_go(automaton):
+    import pyarrow as pa
+
+    bpe.loaded(zlib.compress(pickle.dumps(automaton)))
+    table = packing.runs([packing.Pattern((5, 3), 2)])
+    batch = pa.RecordBatch.from_pylist([dict(doc_id=1, piece=0, start=0, length=n, ids_crc32=7, rank=1) for n in (5, 3)])
+    (out,) = packing.placing(table)([batch])
+    assert not bpe._COMPILED and out.column("sequence_id").to_pylist() == [1, 1] and out.column("offset").to_pylist() == [0, 5]
+
+
 def test_packing_on_odd_tables(spark, automaton):
     rows = [(i % 3, "the same text", "x", 1) for i in range(9)] + [(7, "word " * 9001, "y", 2), (7, None, "y", 2)]  # ties, repeats, one long text
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, piece string, task int"), bpe.load_vocabulary()).toPandas()
