@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import os
 import pickle
 import random
 import re
@@ -663,3 +664,29 @@ def test_pipeline_stages_on_odd_rows(spark):
         docs = stage(spark, docs, "")
     kept = {r.doc_id: r.text for r in docs.collect()}
     assert set(kept) == {2, 3, None} and kept[None].endswith(secrets_scan.MASK)
+
+
+def test_driver_gives_native_memory_back(spark):
+    from millrace.llm import _shared
+
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("memory can't be read here")
+    jvm = spark._jvm
+    rollup = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup"
+
+    def mb() -> float:
+        with open(rollup) as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    before = mb()
+    held = [jvm.java.util.zip.Deflater() for _ in range(2000)]
+    made = mb() - before
+    for i, d in enumerate(held):  # those that stay keep the C heap from shrinking by itself
+        if i % 20:
+            d.end()
+    freed = mb()
+    _shared.release(_shared.materialize(spark.range(1), "trimmed"))
+    after = mb()
+    for d in held[::20]:
+        d.end()
+    assert made > 50 and after < freed - made / 3
